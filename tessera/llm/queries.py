@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, simhash
+from . import decontaminate, quality, simhash, suffixes
 
-QUERIES = {k: f for m in (quality, simhash, decontaminate) for k, f in m.QUERIES.items()}
+QUERIES = {k: f for m in (quality, simhash, suffixes, decontaminate) for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {}
