@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, simhash, suffixes
+from . import chat, decontaminate, mixing, quality, simhash, suffixes
 
-QUERIES = {k: f for m in (quality, simhash, suffixes, decontaminate) for k, f in m.QUERIES.items()}
-SQL: dict[str, str] = {}
+QUERIES = {k: f for m in (quality, mixing, simhash, suffixes, chat, decontaminate) for k, f in m.QUERIES.items()}
+SQL: dict[str, str] = {**chat.SQL}
