@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality, simhash, suffixes
+from . import chat, decontaminate, html, mixing, pii, quality, simhash, suffixes, toxicity, warc
 
-QUERIES = {k: f for m in (quality, mixing, simhash, suffixes, chat, decontaminate) for k, f in m.QUERIES.items()}
+QUERIES = {k: f for m in (quality, mixing, simhash, suffixes, toxicity, pii, html, warc, chat, decontaminate) for k, f in m.QUERIES.items()}
 SQL: dict[str, str] = {**chat.SQL}
