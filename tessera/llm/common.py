@@ -12,7 +12,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 21
 
@@ -55,6 +56,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def column(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+class Kept:
+    """Columns that pass through an operator under names of their own, so that none clashes with what it adds.
+
+    A column that has the name of one of the result's own columns does not pass.
+    """
+
+    def __init__(self, df: DataFrame, keep: list[str] | None, own: tuple[str, ...] = ()):
+        self.names = [c for c in (keep if keep is not None else ["doc_id"]) if c not in own]
+        self.hidden = [f"__c{i}" for i in range(len(self.names))]
+        self.columns = [column(c).alias(h) for c, h in zip(self.names, self.hidden, strict=True)]
+        types = dict(df.dtypes)
+        self.kinds = "".join(f"{h} {types[c]}, " for c, h in zip(self.names, self.hidden, strict=True))
+        self.back = [F.col(h).alias(c) for c, h in zip(self.names, self.hidden, strict=True)]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, with underscores until df has no such column."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2**64."""
     global _pow, _inv

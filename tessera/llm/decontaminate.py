@@ -21,11 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTE, LOWER, chunks, owner, per_text, prefix_hash, runs, span_hash, strings, table
+from .common import ALNUM_BYTE, LOWER, Kept, chunks, column, owner, per_text, prefix_hash, runs, span_hash, strings, table
 
 WINDOW = 10
 #: Bytes of benchmark text in a broadcast block.
 BLOCK_BYTES = 16 << 20
+FOUND = ("found_words", "found_mask", "found_items", "found_longest")
 
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,21 +165,23 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, depth: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, hit_mask (a bit for each word; empty: none), items and longest_match (words), all prefixed `found_`.
+    """docs with found_words, found_mask (a bit for each word, 1: hit; empty: none), found_items and found_longest (words).
 
     Each block of the benchmark is one more pass over the texts within the same stage.
     """
-    own = [c for c in docs.columns if c != "text"]
-    fresh = [F.lit(0).cast("long").alias("found_words"), F.lit(b"").alias("found_mask"), F.array().cast("array<string>").alias("found_items"), F.lit(0).cast("long").alias("found_longest")]
-    out = docs.select("text", *fresh, *own)
+    kept = Kept(docs, docs.columns, ("text", *FOUND))
+    nothing = [F.lit(0).cast("long").alias("found_words"), F.lit(b"").alias("found_mask"), F.array().cast("array<string>").alias("found_items"), F.lit(0).cast("long").alias("found_longest")]
+    out = docs.select("text", *nothing, *kept.columns)
     for items in blocks(benchmark, block_bytes):
         out = out.mapInArrow(_searched(items, depth), out.schema)
-    return out
+    return out.select("text", *FOUND, *kept.back)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """docs without those that hold a window of an item."""
-    return matches(docs, benchmark, **parameters).where(F.length("found_mask") == 0).select(*docs.columns)
+    kept = Kept(docs, docs.columns, ("text",))
+    found = matches(docs.select("text", *kept.columns), benchmark, **parameters).where(F.length("found_mask") == 0)
+    return found.select("text", *kept.back).select(*map(column, docs.columns))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, table, written
+from .common import WORD, Kept, table, written
 
 WEIGHTS = (5, 2, 1)
 SHARE, LIMIT = 1.5, 2
@@ -66,7 +66,7 @@ def permuted(index: Column, n: Column, key: Column, rounds: int = ROUNDS) -> Col
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index, step)
 
 
-def placed(docs: DataFrame, keep: list[str], chunks: int = CHUNKS, **shares) -> tuple[DataFrame, DataFrame]:
+def placed(docs: DataFrame, keep: list, chunks: int = CHUNKS, **shares) -> tuple[DataFrame, DataFrame]:
     """(documents, sources): docs' columns `keep` with row, size, source's rank, source_size and target, and the offset of their
     first word in their source; the sources with their targets."""
     sized = docs.select(*keep, F.col("source").alias("__source"), size_of(F.col("text")).alias("size"), F.monotonically_increasing_id().alias("row"))
@@ -110,15 +110,16 @@ def pieces(documents: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFr
 
 def mixed(docs: DataFrame, keep: list[str] | None = None, block: int = BLOCK, **shares) -> DataFrame:
     """docs' columns `keep` with size, source_size, target and taken, the words that the mix takes of each document."""
-    documents, goal = placed(docs, keep or ["doc_id"], **shares)
+    kept = Kept(docs, keep, ("size", "source_size", "target", "taken"))
+    documents, goal = placed(docs, kept.columns, **shares)
     documents = written(documents, "placed")
     taken = pieces(documents, drawn(goal, block), block).groupBy("row").agg(F.sum("n_words").alias("taken"))
-    return documents.join(taken, "row", "left").select(*(keep or ["doc_id"]), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return documents.join(taken, "row", "left").select(*kept.back, "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def blocks(docs: DataFrame, block: int = BLOCK, **shares) -> DataFrame:
     """(shard, slot, source_rank, words): the blocks of the mix themselves.  doc_id must be a key of docs here."""
-    documents, goal = placed(docs, ["doc_id"], **shares)
+    documents, goal = placed(docs, [F.col("doc_id")], **shares)
     documents = written(documents, "placed")
     took = pieces(documents, drawn(goal, block), block).join(documents.select("row", "doc_id", "offset"), "row")
     texts = docs.select(F.col("doc_id").alias("__id"), F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)).alias("all"))

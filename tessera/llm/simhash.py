@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_BYTE, chunks, owner, per_text, runs, table, written
+from .common import LOWER, WORD_BYTE, Kept, chunks, fresh, owner, per_text, runs, table, written
 from .components import Classes, components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -84,8 +84,8 @@ def _fingerprinted(shingle: int):
 
 def fingerprinted(docs: DataFrame, keep: list[str], shingle: int = SHINGLE) -> DataFrame:
     """docs' columns `keep` with the fingerprint fp as a signed long."""
-    kinds = "".join(f"`{c}` {k}, " for c, k in docs.select(*keep).dtypes)
-    return docs.select("text", *keep).mapInArrow(_fingerprinted(shingle), f"{kinds}fp long")
+    kept = Kept(docs, keep, ("fp", "component_id"))
+    return docs.select("text", *kept.columns).mapInArrow(_fingerprinted(shingle), f"{kept.kinds}fp long").select(*kept.back, "fp")
 
 
 def gray_rank(x: np.ndarray) -> np.ndarray:
@@ -221,11 +221,12 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
     """One row of each component: the one of the smallest doc_id, and of the smallest text hash among those."""
-    mark = F.xxhash64("text")
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))
     found = written(near_duplicates(docs.select("doc_id", "text", mark.alias("mark")), ["doc_id", "mark"], shingle, bits), "near")
     best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
-    stay = best.select(F.col("best.doc_id").alias("__id"), F.col("best.mark").alias("__mark"))
-    out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_semi")
+    a, b = fresh(docs, "__id"), fresh(docs, "__mark")
+    stay = best.select(F.col("best.doc_id").alias(a), F.col("best.mark").alias(b))
+    out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col(a)) & (mark == F.col(b)), "left_semi")
     if found.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
         return out
     return out.dropDuplicates(["doc_id", "text"])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM_BYTE, LOWER, chunks, mix, owner, prefix_hash, runs, span_hash, table
+from .common import ALNUM_BYTE, LOWER, Kept, chunks, mix, owner, prefix_hash, runs, span_hash, table
 from .crf import Crf
 
 #: Labelled documents that the model is trained on at most.
@@ -165,8 +165,9 @@ def _scored(shared):
 def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """docs' columns `keep` with score and toxic_spans (start, end in code points, probability)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kinds = "".join(f"`{c}` {k}, " for c, k in docs.select(*keep).dtypes)
-    return docs.select("text", *keep).mapInArrow(_scored(shared), f"{kinds}score double, toxic_spans array<struct<start: long, end: long, probability: double>>")
+    kept = Kept(docs, keep, ("score", "toxic_spans"))
+    out = docs.select("text", *kept.columns).mapInArrow(_scored(shared), f"{kept.kinds}score double, toxic_spans array<struct<start: long, end: long, probability: double>>")
+    return out.select(*kept.back, "score", "toxic_spans")
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

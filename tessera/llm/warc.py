@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Kept, table
 from .html import INLINE, RAW, TAG
 
 DATE = "2024-01-01T00:00:00Z"
@@ -165,17 +165,16 @@ def _derivatives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def responses(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """pages' columns `keep` with response, a raw WARC response record of url and html."""
-    keep = keep or ["page_id"]
-    kinds = "".join(f"`{c}` {k}, " for c, k in pages.select(*keep).dtypes)
-    return pages.select(F.col("url").alias("__url"), F.col("html").alias("__html"), *keep).mapInArrow(_responses, f"{kinds}response binary")
+    kept = Kept(pages, keep or ["page_id"], ("response",))
+    out = pages.select(F.col("url").alias("__url"), F.col("html").alias("__html"), *kept.columns).mapInArrow(_responses, f"{kept.kinds}response binary")
+    return out.select(*kept.back, "response")
 
 
 def derived(records: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """The derivatives of raw response records (column response), with the columns `keep` of their sources."""
-    keep = keep or ["page_id"]
-    kinds = "".join(f"`{c}` {k}, " for c, k in records.select(*keep).dtypes)
-    schema = f"{kinds}warc_type string, record_id string, refers_to string, target_uri string, warc_date string, source_payload_digest string, block_digest string, content_length long, record binary"
-    return records.select("response", *keep).mapInArrow(_derivatives, schema)
+    kept = Kept(records, keep or ["page_id"], tuple(DERIVED.names))
+    schema = f"{kept.kinds}warc_type string, record_id string, refers_to string, target_uri string, warc_date string, source_payload_digest string, block_digest string, content_length long, record binary"
+    return records.select("response", *kept.columns).mapInArrow(_derivatives, schema).select(*kept.back, *DERIVED.names)
 
 
 def op8_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
