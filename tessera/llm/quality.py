@@ -10,8 +10,10 @@ Model entries are (language, 64-bit n-gram key, log probability, log backoff).
 key and look n-grams up by binary search.  That holds while the model has at most `model_rows` entries; a larger
 one is never collected: n-grams of each document are then joined with it in Spark (`score_by_join`), same results.
 
-A language's band is its median of the log perplexity by character, less or more a multiple of its median absolute deviation, from a
-histogram of all its documents.  A document outside its band, or failing the base rules, isn't kept.
+A document's log perplexity is its negative log probability by letter or digit: by character, lines of symbols would look
+fluent, as all but the first of a run cost nothing.  A language's band is the median of its documents, less or more a
+multiple of their median absolute deviation, from a histogram of all of them.  A document outside its band, without a
+letter, or failing the base rules, isn't kept.
 
 Defined results: a null or empty text has no words, fails the base, and has null perplexity; a null language is a
 language of its own; repeated rows count and are judged like others; other columns are ignored and pass through
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTE, chunks, mix, owner, per_text, prefix_hash, runs, span_hash, table, written
+from .common import ALNUM_BYTE, WORD_BYTE, chunks, fresh, mix, owner, per_text, prefix_hash, runs, span_hash, table, written
 
 ORDER = 4
 #: Bits of a character class; n-grams of up to 5 pack into 60 bits, the length above them.
@@ -36,14 +38,14 @@ BITS = 12
 MODEL_ROWS = 6_000_000
 #: Robust deviations that the band spans to each side.
 BAND_LOW, BAND_HIGH = 8.0, 8.0
-#: The band is never narrower than this to a side, in nats a character.
-LEAST_BAND = 0.25
+#: The band is never narrower than this to a side, in nats a letter.
+LEAST_BAND = 0.32
 #: A language with fewer scored documents has too little for a band; its documents pass.
 LEAST_DOCS = 20
 STEP = 1000
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
-SCORED = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, loglik double, n_code_points long"
+SCORED = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, loglik double, n_letters long"
 
 
 def repeated(keys: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +169,7 @@ def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
     for k in range(order - 1, 0, -1):
         continued = upper.select("lang", F.col("key").bitwiseAND(F.lit(mask(k))).alias("key"), F.lit(1).cast("long").alias("n"))
         upper = continued.unionByName(at.where(F.col("length") == k).select("lang", "key", "n")).groupBy("lang", "key").agg(F.sum("n").alias("n"))
-        levels[k] = upper
+        levels[k] = upper = written(upper, "level")  # each level is read by several others
     lower, parts = None, []
     for k in range(1, order + 1):
         level = levels[k]
@@ -179,7 +181,7 @@ def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
         level = level.join(stats.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of"))).drop("of")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         level = level.select("lang", "key", F.shiftright("key", BITS).alias("context"), (F.col("n") - d).alias("rest"), d.alias("d"), F.col("key").bitwiseAND(F.lit(mask(k - 1))).alias("shorter"), "n")
-        context = level.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
+        context = written(level.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed")), "contexts")
         known = context.select(F.col("lang").alias("of"), F.col("context").alias("at"), "total", "freed")
         level = level.join(known, F.col("lang").eqNullSafe(F.col("of")) & (F.col("context") == F.col("at"))).drop("of", "at")
         if lower is None:
@@ -188,9 +190,10 @@ def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
             low = lower.select(F.col("lang").alias("of"), F.col("key").alias("at"), F.col("p").alias("q"))
             level = level.join(low, F.col("lang").eqNullSafe(F.col("of")) & (F.col("shorter") == F.col("at")), "left").drop("of", "at")
         level = level.withColumn("p", (F.col("rest") + F.col("freed") * F.coalesce("q", F.lit(1.0 / (1 << BITS)))) / F.col("total"))
+        level = written(level.select("lang", "key", "p"), "level")
         backoff = context.select("lang", F.col("context").alias("key"), F.log(F.col("freed") / F.col("total")).alias("backoff"))
-        parts.append((level.select("lang", "key", "p"), backoff))
-        lower = level.select("lang", "key", "p")
+        parts.append((level, backoff))
+        lower = level
     out = None
     for probabilities, backoff in parts:
         one = probabilities.select("lang", "key", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff")).unionByName(backoff.select("lang", "key", F.lit(None).cast("double").alias("logp"), "backoff"))
@@ -228,7 +231,7 @@ class Arrays:
             out[todo[hit]] += logp[at[hit]]
             todo, key, length = todo[~hit], key[~hit], length[~hit]
             last = length <= 1
-            out[todo[last]] -= np.log(1 << BITS)
+            out[todo[last]] += (backoff[0] if known[0] == 0 else 0) - np.log(1 << BITS)  # an unknown character: the empty context, key 0
             todo, key, length = todo[~last], key[~last], length[~last]
             context = key >> np.uint64(BITS)
             at = np.minimum(np.searchsorted(known, context), len(known) - 1)
@@ -255,10 +258,11 @@ def _scored(order: int, arrays):
                         mine = slice(None) if len(ids) == 1 else np.flatnonzero(which == k)
                         distinct, back = np.unique(keys[mine], return_inverse=True)
                         total += np.bincount(each[mine], arrays.value.score(one, distinct, order)[back], j - i)
-                for c, x in zip(cols, [*base_counts(buf, offsets), total, sizes], strict=True):
+                letters = np.r_[0, np.cumsum(ALNUM_BYTE[buf] & ((buf & 0xC0) != 0x80))]
+                for c, x in zip(cols, [*base_counts(buf, offsets), total, letters[offsets[1:]] - letters[offsets[:-1]]], strict=True):
                     c.append(x)
             got = [np.concatenate(c) if c else np.zeros(0) for c in cols]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(1), *(pa.array(x.astype(np.int64)) for x in got[:5]), pa.array(got[5].astype(float)), pa.array(got[6].astype(np.int64))], [*batch.schema.names[2:], "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "loglik", "n_code_points"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(1), *(pa.array(x.astype(np.int64)) for x in got[:5]), pa.array(got[5].astype(float)), pa.array(got[6].astype(np.int64))], [*batch.schema.names[2:], "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "loglik", "n_letters"])
 
     return run
 
@@ -283,20 +287,22 @@ def _keyed(order: int):
 def score_by_join(docs: DataFrame, entries: DataFrame, order: int = ORDER) -> DataFrame:
     """(row, loglik) of docs (text, lang, row) by joins with the model: one join for each order, for a model of any size."""
     todo = docs.select("text", "lang", "row").mapInArrow(_keyed(order), "row long, lang string, key long, n long").withColumns({"length": _length(F.col("key")), "sum": F.lit(0.0)})
-    uniform, done = float(-np.log(1 << BITS)), None
+    empty = entries.where("key = 0 and backoff is not null").select(F.col("lang").alias("l0"), (F.col("backoff").cast("float").cast("double") - float(np.log(1 << BITS))).alias("unknown"))
+    todo = todo.join(empty, F.col("lang").eqNullSafe(F.col("l0")), "left").drop("l0")
+    done = None
     for _ in range(order):
         m = entries.where("logp is not null").select(F.col("lang").alias("l"), F.col("key").alias("k"), F.col("logp").cast("float").cast("double").alias("logp"))
         b = entries.where("backoff is not null").select(F.col("lang").alias("l2"), F.col("key").alias("k2"), F.col("backoff").cast("float").cast("double").alias("backoff"))
         got = todo.join(m, F.col("lang").eqNullSafe(F.col("l")) & (F.col("key") == F.col("k")), "left")
-        end = got.where("logp is not null or length <= 1").select("row", ((F.col("sum") + F.coalesce("logp", F.lit(uniform))) * F.col("n")).alias("x"))
+        end = got.where("logp is not null or length <= 1").select("row", ((F.col("sum") + F.coalesce("logp", "unknown")) * F.col("n")).alias("x"))
         done = end if done is None else done.unionByName(end)
         rest = got.where("logp is null and length > 1").drop("l", "k", "logp").withColumn("context", F.shiftright("key", BITS))
-        todo = rest.join(b, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("context") == F.col("k2")), "left").select("row", "lang", F.col("key").bitwiseAND(F.expr(f"shiftleft(1L, {BITS} * (length - 1)) - 1")).alias("key"), "n", (F.col("length") - 1).alias("length"), (F.col("sum") + F.coalesce("backoff", F.lit(0.0))).alias("sum"))
+        todo = rest.join(b, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("context") == F.col("k2")), "left").select("row", "lang", F.col("key").bitwiseAND(F.expr(f"shiftleft(1L, {BITS} * (length - 1)) - 1")).alias("key"), "n", (F.col("length") - 1).alias("length"), (F.col("sum") + F.coalesce("backoff", F.lit(0.0))).alias("sum"), "unknown")
     return done.groupBy("row").agg(F.sum("x").alias("loglik"))
 
 
 def scores(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """doc_id, mark (a hash of text and language), lang, the base counts, n_code_points and log_perplexity (null without characters) of each row."""
+    """doc_id, mark (a hash of text and language), lang, the base counts, n_letters and log_perplexity (null without letters) of each row."""
     entries = written(model(written(counted(docs, order), "ngrams"), order), "model")
     mark = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))).alias("mark")
     rows = docs.select("text", "lang", "doc_id", mark)
@@ -307,7 +313,7 @@ def scores(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) ->
     else:
         rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows").select("text", "lang", "row", "doc_id", "mark")
         out = rows.mapInArrow(_scored(order, None), f"row long, {held}, {SCORED}").drop("loglik").join(score_by_join(rows, entries, order), "row", "left").drop("row")
-    return out.withColumn("log_perplexity", F.when(F.col("n_code_points") > 0, -F.col("loglik") / F.col("n_code_points"))).drop("loglik")
+    return out.withColumn("log_perplexity", F.when(F.col("n_letters") > 0, -F.col("loglik") / F.col("n_letters"))).drop("loglik")
 
 
 def bands(scored: DataFrame, low: float = BAND_LOW, high: float = BAND_HIGH) -> DataFrame:
@@ -333,15 +339,16 @@ def judged(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS, lo
     band = bands(scored, low, high).withColumnRenamed("lang", "band_lang")
     x = scored.join(band, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(True))
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.col("low").isNull())
     return x.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & inside)
 
 
 def reject(docs: DataFrame, **parameters) -> DataFrame:
     """docs without the rejected rows, all columns as they were.  A row is known by its doc_id and a hash of its text and language."""
     mark = F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit("")))
-    gone = judged(docs, **parameters).where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("mark").alias("__mark")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")) & (mark == F.col("__mark")), "left_anti")
+    a, b = fresh(docs, "__id"), fresh(docs, "__mark")
+    gone = judged(docs, **parameters).where(~F.col("kept")).select(F.col("doc_id").alias(a), F.col("mark").alias(b)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(a)) & (mark == F.col(b)), "left_anti")
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
