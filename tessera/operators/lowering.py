@@ -702,7 +702,7 @@ class Lowering:
             c, many = self.values_of(s, n)
             if at(n) not in s.df.columns:
                 continue
-            parts.append(s.value(F.explode(c)["value"] if many else c).where("v is not null") if many else s.where(c.isNotNull()).value(c))
+            parts.append(s.value(F.explode(F.transform(c, lambda x: x["value"])) if many else c).where("v is not null") if many else s.where(c.isNotNull()).value(c))
         return self.tracked(merged(parts) if parts else s.value(F.lit(None).cast("string")).where(F.lit(False)))
 
     def step_id(self, s: Stream, step: Step) -> Stream:
@@ -838,10 +838,11 @@ class Lowering:
                 out = self.by(out, step.bys[0], "_s")
                 return out.where(F.col("_s").isNotNull()).value(F.col("_s"))
             return out.value(F.array(F.col("v" if out.kind in ("value", "list") else "id")), "list") if pop == "all" else out
-        if s.kind == "record" and all(n in s.names for n in args):
+        if s.kind == "record" and all(n in s.names for n in args) and not (step.bys and all(n in s.aliases for n in args)):
             return s.to(s.df.select(*s.channels(), *(F.col(f"`f${n}`") for n in args)), names=tuple(args))
         bys = step.bys or [[]]
         out = s.single()
+        out = out.to(out.df.drop(*(f"f${n}" for n in out.names)))
         for i, n in enumerate(args):
             if n not in s.aliases:
                 return s.to(s.df.where(F.lit(False)).select(*s.channels(), *(F.lit(None).cast("string").alias(f"f${m}") for m in args)), "record", names=tuple(args))
