@@ -104,7 +104,8 @@ def pieces(documents: DataFrame, slots: DataFrame, block: int = BLOCK) -> DataFr
     length = F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * block)
     start = F.greatest(F.col("offset"), F.col("block") * block)
     end = F.least(F.col("offset") + F.col("size"), F.col("block") * block + F.round(F.col("part") * length).cast("long"))
-    met = spans.join(slots, ["rank", "block"]).withColumns({"start": start, "end": end}).where("`end` > `start`")
+    # slots come out of a few rows, so their size is not known to the optimizer: never broadcast them
+    met = spans.join(slots.hint("merge"), ["rank", "block"]).withColumns({"start": start, "end": end}).where("`end` > `start`")
     return met.select("shard", "rank", "slot", "block", "row", (F.col("start") - F.col("offset")).alias("from_word"), (F.col("end") - F.col("start")).alias("n_words"))
 
 
