@@ -89,7 +89,7 @@ def suffixes_of(items: list[tuple[str, str | None]], depth: int = WINDOW) -> tup
     size = per_text(len(items), item)
     rows = np.zeros((len(hashes), depth), np.uint64)
     for k in range(depth):
-        at = np.flatnonzero(item[k:] == item[: len(item) - k]) if k else np.arange(len(hashes))
+        at = np.flatnonzero(item[k:] == item[: max(len(item) - k, 0)]) if k else np.arange(len(hashes))
         rows[at, k] = hashes[at + k]
     return rows, np.minimum(size, depth)[item], item
 
