@@ -823,7 +823,7 @@ class Lowering:
             raise UnsupportedTraversal("select(traversal)")
         if len(args) == 1:
             n = args[0]
-            if s.kind == "record" and n in s.names and n not in s.aliases:
+            if s.kind == "record" and n in s.names and not (s.of == "bound" and n in s.aliases):
                 return s.where(F.col(f"`f${n}`").isNotNull()).value(F.col(f"`f${n}`"))
             if n not in s.aliases:
                 if n in self.side:
@@ -861,7 +861,8 @@ class Lowering:
                 match = c == F.col("_i") if kind == "vertex" else (c["id"] == F.col("_i")) & (c["src"] == F.col("_src")) & (c["dst"] == F.col("_dst"))
                 out = out.to(out.df.join(one, match, "left").drop("_i", "_src", "_dst"))
             out = out.where(F.col(f"`f${n}`").isNotNull())
-        return out.to(out.df.select(*s.channels(), *(F.col(f"`f${n}`") for n in args)), "record", names=tuple(args), order=s.order)
+        # without by(), the fields are what the labels are bound to
+        return out.to(out.df.select(*s.channels(), *(F.col(f"`f${n}`") for n in args)), "record", names=tuple(args), order=s.order, of="" if any(bys) else "bound")
 
     # -- reduction ---------------------------------------------------------------------------------------------------------------------
 
@@ -1296,6 +1297,10 @@ class Lowering:
             s = self.semi(s, until, keep=False)
         if until is None and times is None and emit is None:
             raise UnsupportedTraversal("repeat() without times(), until() or emit()")
+        # a dedup() that ends the body remembers what earlier loops have seen
+        last = body.steps[-1] if body.steps else None
+        seen: DataFrame | None = None
+        remember = last is not None and last.name == "dedup" and not last.args and not last.bys
         i = 0
         while times is None or i < times:
             i += 1
@@ -1306,6 +1311,12 @@ class Lowering:
             for j, one in enumerate(steps):
                 self.rest = [*steps[j + 1 :], *after]
                 s = getattr(self, f"step_{one.name}")(s, one)
+            if remember:
+                keys = [*s.scope, *s.keys()]
+                if seen is not None:
+                    s = s.to(s.df.join(seen, keys, "left_anti"))
+                s = s.to(settled(s.df))
+                seen = s.df.select(*keys) if seen is None else seen.unionByName(s.df.select(*keys))
             s = numbered(s, i)
             if times is None:
                 s = s.to(settled(s.df))
