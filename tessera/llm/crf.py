@@ -9,8 +9,15 @@ import numpy as np
 
 
 def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (np.log(np.exp(x - top).sum(axis=axis, keepdims=True)) + top).squeeze(axis)
+    """Over a short axis: one pass for each of its places."""
+    parts = [x.take(i, axis) for i in range(x.shape[axis])]
+    top = parts[0]
+    for p in parts[1:]:
+        top = np.maximum(top, p)
+    total = np.exp(parts[0] - top)
+    for p in parts[1:]:
+        total += np.exp(p - top)
+    return np.log(total) + top
 
 
 class Crf:
@@ -117,32 +124,51 @@ class Crf:
             return np.zeros((0, k))
         tails = np.r_[heads[1:], True]
         e = e + tails[:, None] * self.ends
-        e = e - e.max(axis=1, keepdims=True)
-        carry = np.exp(np.where(heads[:, None, None], self.starts[None, None, :], self.steps[None]) + e[:, None, :])
-        forward = scan(carry).sum(axis=1)
-        # weights of what follows a token: the product of the next tokens' matrices, none beyond the chain's tail
-        follow = np.concatenate([carry[1:], np.ones((1, k, k))])
-        follow[tails] = 1.0
-        backward = scan(np.swapaxes(follow[::-1], 1, 2)).sum(axis=1)[::-1]
+        e = np.exp(e - e.max(axis=1, keepdims=True)).T
+        steps, starts = np.exp(self.steps), np.exp(self.starts)
+        carry = np.empty((k, k, n))
+        for i in range(k):
+            for j in range(k):
+                carry[i, j] = np.where(heads, starts[j], steps[i, j]) * e[j]
+        forward = scan(carry).sum(axis=0)
+        # what follows a token: the product of the next tokens' matrices, none beyond the chain's tail
+        follow = np.ones((k, k, n))
+        follow[:, :, :-1] = carry[:, :, 1:]
+        follow[:, :, tails] = 1.0
+        backward = scan(np.ascontiguousarray(np.swapaxes(follow, 0, 1)[:, :, ::-1])).sum(axis=0)[:, ::-1]
         both = forward * backward
-        return both / both.sum(axis=1, keepdims=True)
+        return (both / both.sum(axis=0)).T
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix products along the first two axes, scaled to a largest entry of 1."""
+    k = a.shape[0]
+    out = np.empty(np.broadcast_shapes(a.shape, b.shape))
+    top = None
+    for i in range(k):
+        for j in range(k):
+            x = a[i, 0] * b[0, j]
+            for m in range(1, k):
+                x += a[i, m] * b[m, j]
+            out[i, j] = x
+            top = x.copy() if top is None else np.maximum(top, x)
+    out /= top
+    return out
 
 
 def scan(m: np.ndarray, width: int = 64) -> np.ndarray:
-    """Products m[0] ... m[i] for each i, each scaled to a largest entry of 1."""
-    n, k, _ = m.shape
+    """Products m[..., 0] ... m[..., i] for each i, each scaled to a largest entry of 1: rows of `width` first, then over the rows."""
+    k, _, n = m.shape
     rows = -(-n // width)
+    width = width if rows > 1 else n
+    padded = np.empty((k, k, rows * width))
+    padded[:, :, :n] = m
+    padded[:, :, n:] = np.eye(k)[:, :, None]
+    by = np.ascontiguousarray(padded.reshape(k, k, rows, width).transpose(0, 1, 3, 2))  # steps of all rows lie together
+    by[:, :, 0] /= by[:, :, 0].max(axis=(0, 1))
+    for t in range(1, width):
+        by[:, :, t] = _product(by[:, :, t - 1], by[:, :, t])
     if rows > 1:
-        m = np.concatenate([m, np.broadcast_to(np.eye(k), (rows * width - n, k, k))]).reshape(rows, width, k, k)
-    else:
-        m = m[None].copy()
-    out = np.empty_like(m)
-    out[:, 0] = m[:, 0] / m[:, 0].max(axis=(1, 2), keepdims=True)
-    for t in range(1, m.shape[1]):
-        x = (out[:, t - 1, :, :, None] * m[:, t, None, :, :]).sum(axis=2)
-        out[:, t] = x / x.max(axis=(1, 2), keepdims=True)
-    if rows > 1:
-        before = scan(out[:-1, -1], width)
-        rest = (before[:, None, :, :, None] * out[1:, :, None, :, :]).sum(axis=3)
-        out[1:] = rest / rest.max(axis=(2, 3), keepdims=True)
-    return out.reshape(-1, k, k)[:n]
+        before = scan(np.ascontiguousarray(by[:, :, -1, :-1]))
+        by[:, :, :, 1:] = _product(before[:, :, None, :], by[:, :, :, 1:])
+    return by.transpose(0, 1, 3, 2).reshape(k, k, -1)[:, :, :n]

@@ -30,8 +30,8 @@ from .crf import Crf
 SAMPLE = 6000
 BEGINNINGS = (3, 4, 5, 6)
 THRESHOLD = 0.7
-#: Words around a marked word, and stretches of a clean text, that the model learns from.
-AROUND, STRETCH = 5, 12
+#: Words around a marked word, and stretches of a clean text, that the model learns from; words of a chain at most.
+AROUND, STRETCH, CUT = 5, 12, 24
 
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,8 +60,8 @@ class Model:
 
     def toxic(self, doc: np.ndarray, features: np.ndarray) -> np.ndarray:
         """Of each word, the marginal probability of being toxic."""
-        if not len(doc):
-            return np.zeros(0)
+        if not len(doc) or not len(self.known):
+            return np.zeros(len(doc))
         _, first, back = np.unique(features[:, 0], return_index=True, return_inverse=True)
         e = self.crf.emissions(self.ids(features[first]))[back.reshape(-1)]
         return self.crf.marginals(e, np.r_[True, doc[1:] != doc[:-1]])[:, 1]
@@ -96,11 +96,11 @@ def fitted(texts: pa.Array, label: np.ndarray) -> Model:
     model, parts, held = Model(), [], []
     for i, _, buf, offsets in chunks(texts):
         doc, _, _, features = words(buf, offsets)
-        pair = np.unique(np.stack([features.reshape(-1), np.repeat(doc + i, features.shape[1]).astype(np.uint64)], axis=1), axis=0)
-        parts.append(pair)
+        flat, text = features.reshape(-1), np.repeat(doc + i, features.shape[1])
+        first = np.unique(mix(flat ^ mix(text.astype(np.uint64))), return_index=True)[1]
+        parts.append((flat[first], text[first]))
         held.append((i, doc, features))
-    pairs = np.concatenate(parts)
-    model.known, marked = lexicon((pairs[:, 0], pairs[:, 1].astype(np.int64)), label)
+    model.known, marked = lexicon(tuple(np.concatenate(x) for x in zip(*parts, strict=True)), label)
     rng, chains = np.random.default_rng(3), []
     for i, doc, features in held:
         tags = (np.isin(features, marked).any(axis=1) & (label[doc + i] == 1)).astype(np.int64)
@@ -114,8 +114,8 @@ def fitted(texts: pa.Array, label: np.ndarray) -> Model:
             elif label[doc[a] + i] == 0:
                 x = a + int(rng.integers(0, max(1, b - a - STRETCH)))
                 chains.append((ids[x : min(x + STRETCH, b)], tags[x : min(x + STRETCH, b)]))
-    chains = [(x[k : k + 64], t[k : k + 64]) for x, t in chains for k in range(0, len(t), 64)]
-    model.crf = Crf(len(model.known) + 1, 2).train(chains, rounds=60, rate=0.2)
+    chains = [(x[k : k + CUT], t[k : k + CUT]) for x, t in chains for k in range(0, len(t), CUT)]
+    model.crf = Crf(len(model.known) + 1, 2).train(chains, rounds=40, rate=0.3)
     x = np.concatenate([model.evidence(int(doc.max()) + 1 if len(doc) else 0, doc, model.toxic(doc, f))[np.unique(doc)] for _, doc, f in held if len(doc)])
     y = np.concatenate([label[np.unique(doc) + i] for i, doc, _ in held if len(doc)]).astype(float)
     for _ in range(25):  # Newton steps with a ridge
