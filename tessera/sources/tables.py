@@ -10,6 +10,17 @@ from ..graph import Graph, at
 #: Natural keys of the tables overlap, so the id of a vertex is its label's place times STEP plus its key.
 STEP = 1_000_000_000_000
 LABELS = ("region", "nation", "customer", "supplier", "part", "orders", "user", "event")
+#: Known schemas: a graph is made without reading a footer, so a query touches only the files that it needs.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
 KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
 
 
@@ -28,7 +39,7 @@ def _edges(df: DataFrame, ident: Column, src: Column, dst: Column, props: list[s
 
 def graph(spark: SparkSession, folder: str) -> Graph:
     """All tables of a folder.  Frames are plain scans: what a traversal doesn't read is never read."""
-    t = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in (*KEYS, "lineitem", "events")}
+    t = {n: spark.read.schema(SCHEMAS[n]).parquet(f"{folder}/{n}.parquet") for n in (*KEYS, "lineitem", "events")}
     vertices = {n: _vertices(t[n], n, k) for n, k in KEYS.items()}
     vertices["user"] = t["events"].select(key("user", "user_id").alias("id"), F.col("user_id").alias(at("user_id"))).distinct()
     vertices["event"] = _vertices(t["events"], "event", "event_id")
