@@ -77,47 +77,63 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(evidence @ self.curve, -30, 30)))
 
 
-def lexicon(pairs: tuple[np.ndarray, np.ndarray], label: np.ndarray, level: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
-    """(all features in 3 texts or more, marked ones), of the distinct (feature, text) pairs."""
-    feature, text = pairs
+def counted(texts: pa.Array, label: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, texts that hold it, toxic ones among them); a text lies in one chunk, so counts add up."""
+    parts = []
+    for i, _, buf, offsets in chunks(texts):
+        doc, _, _, features = words(buf, offsets)
+        flat, text = features.reshape(-1), np.repeat(doc, features.shape[1])
+        first = np.unique(mix(flat ^ mix(text.astype(np.uint64))), return_index=True)[1]
+        known, back = np.unique(flat[first], return_inverse=True)
+        parts.append((known, np.bincount(back, minlength=len(known)), np.bincount(back, label[text[first] + i], len(known))))
+    feature, every, toxic = (np.concatenate(x) for x in zip(*parts, strict=True))
     known, back = np.unique(feature, return_inverse=True)
-    toxic = np.bincount(back, label[text], len(known))
-    every = np.bincount(back, minlength=len(known)).astype(float)
+    return known, np.bincount(back, every, len(known)), np.bincount(back, toxic, len(known))
+
+
+def lexicon(known: np.ndarray, every: np.ndarray, toxic: np.ndarray, label: np.ndarray, level: float = 0.2) -> tuple[np.ndarray, np.ndarray]:
+    """(features in 3 texts or more, marked ones): those whose texts are toxic more often than chance allows."""
     rate, share = np.clip(label.mean(), 1e-6, 1 - 1e-6), np.clip(toxic / every, 1e-9, 1 - 1e-9)
     tail = every * (share * np.log(share / rate) + (1 - share) * np.log((1 - share) / (1 - rate)))
     marked = (share > 0.8) & (tail > np.log(max(len(known), 2) / level)) & (known != 0)
     return known[(every >= 3) & (known != 0)], known[marked]
 
 
-def fitted(texts: pa.Array, label: np.ndarray) -> Model:
-    """The model of labelled texts."""
-    if len(label) == 0 or label.min() == label.max():
-        return Model(float(label.mean()) if len(label) else 0.0)
-    model, parts, held = Model(), [], []
+def _chains(model: Model, marked: np.ndarray, texts: pa.Array, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Marked words of toxic texts with their neighbours, and a stretch of each clean text."""
+    rng = np.random.default_rng(3)
     for i, _, buf, offsets in chunks(texts):
         doc, _, _, features = words(buf, offsets)
-        flat, text = features.reshape(-1), np.repeat(doc + i, features.shape[1])
-        first = np.unique(mix(flat ^ mix(text.astype(np.uint64))), return_index=True)[1]
-        parts.append((flat[first], text[first]))
-        held.append((i, doc, features))
-    model.known, marked = lexicon(tuple(np.concatenate(x) for x in zip(*parts, strict=True)), label)
-    rng, chains = np.random.default_rng(3), []
-    for i, doc, features in held:
         tags = (np.isin(features, marked).any(axis=1) & (label[doc + i] == 1)).astype(np.int64)
-        head = np.r_[0, np.flatnonzero(np.diff(doc)) + 1, len(doc)] if len(doc) else np.zeros(1, int)
         ids = model.ids(features)
+        head = np.r_[0, np.flatnonzero(np.diff(doc)) + 1, len(doc)] if len(doc) else np.zeros(1, int)
         for a, b in zip(head[:-1].tolist(), head[1:].tolist(), strict=True):
             if tags[a:b].any():
                 near = np.convolve(tags[a:b], np.ones(2 * AROUND + 1, int), "same")[: b - a] > 0 if b - a > 2 * AROUND else np.ones(b - a, bool)
                 cut = np.flatnonzero(np.diff(np.r_[False, near, False]))
-                chains += [(ids[a + x : a + y], tags[a + x : a + y]) for x, y in zip(cut[::2].tolist(), cut[1::2].tolist(), strict=True)]
+                spans = [(a + x, a + y) for x, y in zip(cut[::2].tolist(), cut[1::2].tolist(), strict=True)]
             elif label[doc[a] + i] == 0:
                 x = a + int(rng.integers(0, max(1, b - a - STRETCH)))
-                chains.append((ids[x : min(x + STRETCH, b)], tags[x : min(x + STRETCH, b)]))
-    chains = [(x[k : k + CUT], t[k : k + CUT]) for x, t in chains for k in range(0, len(t), CUT)]
-    model.crf = Crf(len(model.known) + 1, 2).train(chains, rounds=40, rate=0.3)
-    x = np.concatenate([model.evidence(int(doc.max()) + 1 if len(doc) else 0, doc, model.toxic(doc, f))[np.unique(doc)] for _, doc, f in held if len(doc)])
-    y = np.concatenate([label[np.unique(doc) + i] for i, doc, _ in held if len(doc)]).astype(float)
+                spans = [(x, min(x + STRETCH, b))]
+            else:
+                spans = []
+            for x, y in spans:
+                for k in range(x, y, CUT):
+                    yield ids[k : min(k + CUT, y)].copy(), tags[k : min(k + CUT, y)].copy()
+
+
+def fitted(texts: pa.Array, label: np.ndarray) -> Model:
+    """The model of labelled texts, in three passes over them that hold a chunk at a time."""
+    if len(label) == 0 or label.min() == label.max():
+        return Model(float(label.mean()) if len(label) else 0.0)
+    model = Model()
+    model.known, marked = lexicon(*counted(texts, label), label)
+    model.crf = Crf(len(model.known) + 1, 2).train(list(_chains(model, marked, texts, label)), rounds=40, rate=0.3)
+    x = []
+    for i, j, buf, offsets in chunks(texts):
+        doc, _, _, features = words(buf, offsets)
+        x.append(model.evidence(j - i, doc, model.toxic(doc, features)))
+    x, y = np.concatenate(x), label.astype(float)
     for _ in range(25):  # Newton steps with a ridge
         p = 1 / (1 + np.exp(-np.clip(x @ model.curve, -30, 30)))
         h = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
