@@ -41,25 +41,33 @@ def comparable(kind: str, x: Any) -> bool:
     return True
 
 
+def no(c: Column) -> Column:
+    """The opposite of a test."""
+    return ~F.coalesce(c, F.lit(False))
+
+
 def test(c: Column, p: Any, kind: str) -> Column:
-    """Whether c, of Spark type `kind`, passes p: a predicate, or a literal to equal.  Never null."""
-    no = F.lit(False)
+    """Whether c, of Spark type `kind`, passes p: a predicate, or a literal to equal.
+
+    Null stands for no, so that a plain comparison can be pushed to the scan; negate with no().
+    """
+    never = F.lit(False)
     if not isinstance(p, P):
         p = P("eq", (p,))
     op, args = p.op, p.args
     if op == "not":
-        return ~test(c, args[0], kind)
+        return no(test(c, args[0], kind))
     if op in ("and", "or"):
         a, b = (test(c, x, kind) for x in args)
         return a & b if op == "and" else a | b
     if op in ("within", "without"):
-        found = no
+        found = never
         plain = [x for x in args if x is not None and comparable(kind, x)]
         if plain:
-            found = F.coalesce(c.isin([x for x in plain]), no)
+            found = c.isin(plain)
         if None in args:
             found = found | c.isNull()
-        return found if op == "within" else ~found
+        return found if op == "within" else no(found)
     if op == "typeOf":
         name = args[0].name if isinstance(args[0], Token) else str(args[0]).upper()
         if name == "NUMBER":
@@ -77,10 +85,10 @@ def test(c: Column, p: Any, kind: str) -> Column:
         return F.lit(kind in TYPES[name]) & c.isNotNull()
     x = args[0] if args else None
     if op in ("eq", "neq"):
-        same = no if not comparable(kind, x) else c.eqNullSafe(literal(x) if not isinstance(x, Column) else x)
+        same = never if not comparable(kind, x) else c.eqNullSafe(literal(x) if not isinstance(x, Column) else x)
         return same if op == "eq" else ~same
     if any(not comparable(kind, y) for y in args):
-        return no
+        return never
     col = [y if isinstance(y, Column) else literal(y) for y in args]
     text = {
         "startingWith": lambda: c.startswith(col[0]),
@@ -89,7 +97,7 @@ def test(c: Column, p: Any, kind: str) -> Column:
         "regex": lambda: c.rlike(args[0]),
     }
     if op[:3] == "not" and op[3].lower() + op[4:] in text:
-        return F.coalesce(~text[op[3].lower() + op[4:]](), no)
+        return ~text[op[3].lower() + op[4:]]()
     made = {
         "lt": lambda: c < col[0],
         "lte": lambda: c <= col[0],
@@ -101,4 +109,4 @@ def test(c: Column, p: Any, kind: str) -> Column:
     } | text
     if op not in made:
         raise UnsupportedTraversal(f"predicate {op}")
-    return F.coalesce(made[op](), no)
+    return made[op]()

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..plans.steps import Token, UnsupportedTraversal
-from .predicates import literal, test
+from .predicates import literal, no, test
 
 #: Fixed value: the white space that trim() removes.
 SPACE = " \t\n\x0b\x0c\r"
@@ -134,7 +134,7 @@ def quantified(name: str, c: Column, p: Any, kind: str) -> Column:
     if name == "all":
         return F.forall(c, lambda x: test(x, p, kind))
     some = F.exists(c, lambda x: test(x, p, kind))
-    return some if name == "any" else ~some
+    return some if name == "any" else no(some)
 
 
 def conjoin(c: Column, sep: str) -> Column:

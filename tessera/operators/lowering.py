@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import math, scalars
-from ..functions.predicates import comparable, literal, test
+from ..functions.predicates import comparable, literal, no, test
 from ..graph import Graph, at, settled, united
 from ..plans.steps import P, Step, Token, Traversal, UnsupportedTraversal
 from .stream import Stream, merged, scalar
@@ -191,7 +191,7 @@ class Lowering:
                 p = self.condition(s, a[0])
                 if p is None:
                     return None
-                out = out & (~p if n == "not" else p)
+                out = out & (no(p) if n == "not" else p)
             elif n == "is" and len(a) == 1 and not self._reads(a[0]):
                 if c is None and s.kind != "value":
                     return None
@@ -241,7 +241,7 @@ class Lowering:
         attached = self.attach(s) if s.kind == "vertex" and not self._moves(t) else s
         c = self.condition(attached, t)
         if c is not None:
-            return attached.where(c if keep else ~c)
+            return attached.where(c if keep else no(c))
         out, pairs = self.child(s, t)
         found = out.df.select(*(k for _, k in pairs)).distinct()
         return s.to(s.df.join(found, self.on(pairs), "left_semi" if keep else "left_anti"))
@@ -1254,7 +1254,7 @@ class Lowering:
                 continue
             p = test(F.col("_k"), value, kind)
             hit = (left if every else missed).where(p)
-            missed = missed.where(~p)
+            missed = missed.where(no(p))
             out.append(self.chain(t.steps, hit.to(hit.df.drop("_k"))))
         self.rest = rest
         plain = missed.to(missed.df.drop("_k"))
