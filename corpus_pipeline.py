@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, mixing, pii, quality, simhash
+from tessera.llm import decontaminate, mixing, near, pii, quality
 from tessera.llm.common import shared_dir, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest doc_id."""
-    return simhash.dedup(docs)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more), that of the smallest doc_id."""
+    return near.dedup(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
