@@ -88,6 +88,8 @@ def desugared(low: Lowering, s: Stream, step: Step) -> Stream:
 
 
 def paths(low: Lowering, s: Stream | None, params: dict[str, Any]) -> Stream:
+    if "includeEdges" in params:
+        raise UnsupportedTraversal("shortestPath() with includeEdges")
     sources = None if s is None else s.df.select("id").distinct()
     target, targets = params.get("target"), None
     if isinstance(target, Traversal):
