@@ -34,7 +34,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns of documents with how many words of each the mix takes."""
+    """The columns of documents with how many words of each the mix takes.
+
+    taken is the decision, not applied here: every document stays once with its whole text, and the reader leaves out
+    rows with taken 0 and cuts or repeats the others to so many words.
+    """
     return mixing.mixed(docs, docs.columns)
 
 
