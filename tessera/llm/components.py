@@ -2,43 +2,62 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
 
 
-def components(links: DataFrame, jumps: int = 3) -> DataFrame:
+#: Links that one task may hold; as long as more are left, Spark contracts them.
+HELD = 100_000
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    if held:
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        node, at = np.unique(np.r_[a, b], return_inverse=True)
+        classes = Classes(len(node))
+        classes.join(at[: len(a)], at[len(a) :])
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[classes.of])], ["node", "up"])
+
+
+def components(links: DataFrame, jumps: int = 3, held: int = HELD) -> DataFrame:
     """(node, root) of the nodes of links (a, b): nodes have the same root exactly if a chain of links joins them.
 
     Each round every node hooks onto its least neighbour, chains of hooks are shortened by jumps, and the links are
-    renamed by them; links within a class vanish.  Any such renaming keeps what is connected connected, so the loop
+    renamed by them; links within a class vanish; what at most `held` links are left of is solved in one task.  Any such renaming keeps what is connected connected, so the loop
     ends with one root for each component, after a logarithmic number of rounds.  Each round's tables are written, so
     that a lost executor costs no earlier round.
     """
     live = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     parents = None
-    while not live.isEmpty():
-        both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
-        hook = written(hook, "hooks")
-        for _ in range(jumps):
-            over = hook.select(F.col("node").alias("up"), F.col("up").alias("further"))
-            hook = hook.join(over, "up").select("node", F.col("further").alias("up"))
-        hook = written(hook, "hooks")
+    while left := live.count():
+        if left <= held:
+            hook = written(live.coalesce(1).mapInArrow(_solved, "node long, up long"), "hooks")
+        else:
+            both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
+            hook = written(hook, "hooks")
+            for _ in range(jumps):
+                over = hook.select(F.col("node").alias("up"), F.col("up").alias("further"))
+                hook = hook.join(over, "up").select("node", F.col("further").alias("up"))
+            hook = written(hook, "hooks")
         if parents is None:
             parents = hook.select("node", F.col("up").alias("root"))
         else:
             step = hook.select(F.col("node").alias("root"), "up")
-            parents = parents.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-        parents = written(parents, "parents")
+            parents = written(parents.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "parents")
+        if left <= held:
+            return parents
         a, b = hook.select(F.col("node").alias("a"), F.col("up").alias("x")), hook.select(F.col("node").alias("b"), F.col("up").alias("y"))
         moved = live.join(a, "a").join(b, "b").where("x <> y")
         live = written(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "links")
-    if parents is None:
-        return live.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return parents
+    return live.select(F.col("a").alias("node"), F.col("b").alias("root")) if parents is None else parents
 
 
 class Classes:
@@ -57,3 +76,16 @@ class Classes:
             np.minimum.at(self.of, np.maximum(x, y), np.minimum(x, y))
             while (self.of[self.of] != self.of).any():
                 self.of = self.of[self.of]
+
+    def span(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Join a with b; the places of links that suffice for it, at most one for each class and round."""
+        at, chosen = np.arange(len(a)), []
+        while True:
+            x, y = self.of[a[at]], self.of[b[at]]
+            apart = x != y
+            at, x, y = at[apart], x[apart], y[apart]
+            if not len(at):
+                return np.concatenate(chosen) if chosen else at
+            take = at[np.unique(np.unique(np.r_[x, y], return_index=True)[1] % len(at))]
+            chosen.append(take)
+            self.join(a[take], b[take])

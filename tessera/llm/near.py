@@ -1,23 +1,25 @@
-"""Near copies of the pipeline: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near copies of the pipeline (operator 3 with its exact check): SimHash candidates from the Gray-order index, confirmed by sets.
 
-All pairs above the threshold are found, by prefixes.  With shingles in any one order, two sets of n and m can only be that
-similar if they share one of the first n - ceil(0.8 n) + 1 shingles of the one and of the first m - ceil(0.8 m) + 1 of the
-other.  The order is: shingles seen often in a sample of documents last, then by hash; the sample decides how much work
-there is, never what is found.  Equal sets are one member, named by a hash of the set.
+Texts are linked when their sets of five-word shingles have a Jaccard similarity of 0.8 or more.  A fingerprint has two words of 64
+bits, each bit the majority of the set's hashes.  At a similarity of 0.8 a bit differs with a probability of about 0.15, so
+20 of 128 do (deviation 4): candidates are pairs that differ in at most DISTANCE.  Top nodes of the index are masked patterns of
+`width` bits drawn over both words: `width` grows with the logarithm of the number of sets, so that chance meetings under a
+node stay few, and the number of masks with it, so that a pair at the threshold misses all of them with a probability of MISS
+at most (`plan`).  So the search is by chance in this alone; recall against comparing all pairs is measured in the tests.
 
-Members that share a shingle of their prefixes are candidates if their sizes and the places of the shingle allow the
-similarity.  Of up to FLAT members with a shingle, all such pairs are checked against the whole sets.  Larger groups are
-not expanded: members carry the parities of their shingles by hash in 1,024 bits, and as many bits as differ, so many
-shingles at least are in one set only.  Pairs that the parities allow are joined in the task, and only a
-spanning set leaves it; the links that the whole sets confirm become classes, and the next round joins only across classes.
-When a round confirms nothing new, all pairs across classes that the parities allow are checked one by one.
+Equal sets are one member, named by a hash of the set.  Each task sends a spanning set of its candidate links, which
+are confirmed on the whole sets.  If all are, the confirmed classes are those of all candidates.  Else, among members that a failed link
+touches through candidates, the index is asked again across the confirmed classes: first for other spanning links, then for
+all pairs, so that no candidate that could join two classes is left out.
 
 Defined results: words as in simhash.py; a text of fewer words than a shingle is one shingle; null and empty texts are
-equal; the row of the smallest doc_id stays, of the smallest text hash among those; other columns pass through.
+equal; very long texts are read whole; which row stays of a group is as in simhash.py; an empty table gives an empty result;
+other columns pass through.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,19 +27,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_BYTE, chunks, fresh, mix, owner, per_text, prefix_hash, runs, span_hash, written
+from .common import LOWER, WORD_BYTE, chunks, mix, owner, per_text, prefix_hash, runs, span_hash, written
 from .components import Classes, components
+from .simhash import GrayIndex, by_node, majority, one_of_each, row_mark, signed
 
-SHINGLE = 5
-#: Members with a shingle up to which all pairs are checked.
-FLAT = 16
-#: Documents whose shingles decide the order, and how many of them make a shingle a frequent one.
-SAMPLE, OFTEN = 20_000, 8
-PARITY = 1024
+SHINGLE, SIMILARITY = 5, 0.8
+#: Bits of 128 in which candidates may differ: three deviations above the mean at the threshold.
+DISTANCE = 32
+#: Share of pairs at the threshold that no top node may bring together.
+MISS = 0.005
 #: Residues by which sets that are no candidate's are left out.
 ASKED = 1 << 24
-#: Rounds of spanning links before pairs across classes are checked one by one.
-ROUNDS = 3
+#: Searches for spanning links before all pairs across classes are checked.
+SEARCHES = 2
+
+
+def plan(members: int) -> tuple[int, int]:
+    """Bits of a mask and number of masks for so many sets."""
+    width = max(16, math.ceil(math.log2(max(members, 2))) - 2)
+    agree = 1 - math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi
+    return width, math.ceil(math.log(MISS) / math.log(1 - agree**width))
+
+
+def masks(width: int, count: int) -> list[tuple[int, int]]:
+    """Masks of `width` of the 128 bits as two words each."""
+    rng = np.random.default_rng(20240607)
+    chosen = [sum(1 << int(b) for b in rng.choice(128, width, replace=False)) for _ in range(count)]
+    return [(x & (1 << 64) - 1, x >> 64) for x in chosen]
 
 
 def shingles(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -70,63 +86,17 @@ def described(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return key, of, mix(sums[end] - sums[end - size] + size.astype(np.uint64)), size
 
 
-def parities(key: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-    """(n, PARITY / 64): a bit for each residue of the hashes, set if an odd number of a text's shingles has it."""
-    cell, odd = np.unique(of * PARITY + (key >> np.uint64(40)).astype(np.int64) % PARITY, return_counts=True)
-    flat = np.zeros(n * PARITY, np.uint8)
-    flat[cell[odd % 2 == 1]] = 1
-    return np.packbits(flat.reshape(n, PARITY), axis=1, bitorder="little").view("<u8")
-
-
 def long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.int64))
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for _, _, buf, offsets in chunks(batch.column(0)):
-            yield pa.RecordBatch.from_arrays([long(shingles(buf, offsets)[0])], ["key"])
-
-
-def frequent(docs: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that occur OFTEN in a sample of the documents, sorted, and how often."""
-    every = max(1, docs.count() // sample)
-    some = docs.where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
-    found = some.mapInArrow(_sampled, "key long").groupBy("key").count().where(f"count >= {OFTEN}").toArrow()
-    key, count = found["key"].to_numpy().astype(np.uint64), found["count"].to_numpy()
-    by = np.argsort(key)
-    return key[by], count[by]
-
-
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, mark) with the set's hash, size and parities."""
+    """(doc_id, mark) with the set's hash, its size and the fingerprint's two words."""
     for batch in batches:
         for i, j, buf, offsets in chunks(batch.column(0)):
             key, of, sig, size = described(buf, offsets)
-            bits = parities(key, of, j - i)
-            yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), long(sig), long(size), pa.array([b.tobytes() for b in bits], pa.binary())], [*batch.schema.names[1:], "sig", "size", "bits"])
-
-
-def _prefixes(often):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, times = often.value
-        for batch in batches:
-            for _, _, buf, offsets in chunks(batch.column(0)):
-                key, of, sig, size = described(buf, offsets)
-                rank = np.zeros(len(key), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                    rank = np.where(known[at] == key, times[at], 0)
-                by = np.lexsort((key, rank, of))
-                key, of = key[by], of[by]
-                place = np.arange(len(key)) - (np.cumsum(size) - size)[of]
-                first = np.unique(sig, return_index=True)[1]  # copies within the chunk once
-                once = np.zeros(len(sig), bool)
-                once[first] = True
-                stay = (place <= (size - (4 * size + 4) // 5)[of]) & once[of]
-                yield pa.RecordBatch.from_arrays([long(key[stay]), long(sig[of[stay]]), long(size[of[stay]]), long(place[stay])], ["key", "sig", "size", "place"])
-
-    return run
+            low, high = majority(key, of, j - i), majority(mix(key + np.uint64(1)), of, j - i)
+            yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), long(sig), long(size), long(low), long(high)], [*batch.schema.names[1:], "sig", "size", "f0", "f1"])
 
 
 def near(shared: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -134,80 +104,34 @@ def near(shared: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 9 * shared >= 4 * (n + m)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of small groups the pairs (a, b), of large ones the members (group, member)."""
-    held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-    if not held:
-        return
-    key, sig, size, place = (np.concatenate(x) for x in zip(*held, strict=True))
-    by = np.lexsort((sig, key))
-    key, sig, size, place = (x[by] for x in (key, sig, size, place))
-    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (sig[1:] != sig[:-1])]) if len(key) else np.zeros(0, int)
-    key, sig, size, place = (x[new] for x in (key, sig, size, place))
-    head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, int)
-    count = np.diff(np.r_[head, len(key)])
-    of, left = np.repeat(count, count), np.repeat(head + count, count) - np.arange(len(key))
-    large = np.flatnonzero(of > FLAT)
-    # a group is named by its members, so that shingles of the same ones are one group
-    sums = np.r_[np.uint64(0), np.cumsum(mix(sig.astype(np.uint64)), dtype=np.uint64)]
-    name = np.repeat(mix(sums[head + count] - sums[head] + count.astype(np.uint64)), count)
-    listed = np.unique(np.stack([name[large].astype(np.int64), sig[large]], axis=1), axis=0)
-    yield pa.RecordBatch.from_arrays([long(listed[:, 0]), long(listed[:, 1]), pa.array(np.ones(len(listed), bool))], ["a", "b", "large"])
-    live = np.flatnonzero(of <= FLAT)
-    for k in range(1, FLAT):
-        live = live[left[live] > k]
-        if not len(live):
-            break
-        other = live + k
-        # at the first shingle that two sets share, no more than the rest of either can be shared
-        most = np.minimum(size[live] - place[live], size[other] - place[other])
-        ok = near(most, size[live], size[other])
-        pairs = np.unique(np.stack([sig[live[ok]], sig[other[ok]]], axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([long(pairs[:, 0]), long(pairs[:, 1]), pa.array(np.zeros(len(pairs), bool))], ["a", "b", "large"])
-
-
-def _spanning(whole: bool, turn: int):
-    """Links (a, b) that the parities allow among members of different classes of the same group: all, or a spanning set."""
+def _candidates(whole: bool):
+    """Candidate links (a, b) among members of different classes under the same top nodes: a spanning set, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        key, sig, root, size = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(4))
-        bits = np.frombuffer(b"".join(x for b in held for x in b.column(4).to_pylist()), "<u8").reshape(-1, PARITY // 64)
-        member, row, which = np.unique(sig, return_index=True, return_inverse=True)
-        size, bits = size[row], bits[row]
-        classes = Classes(len(member))
-        _, least, of = np.unique(root[row], return_index=True, return_inverse=True)
-        classes.join(np.arange(len(member)), least[of])
-        by = np.lexsort((mix(sig.astype(np.uint64) ^ np.uint64(turn)), key))
-        key, which = key[by], which[by]
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
-        for h, end in zip(head.tolist(), [*head[1:].tolist(), len(key)], strict=True):
-            group = which[h:end]
-            for i in range(len(group) - 1):
-                one, rest = group[i], group[i + 1 :]
-                rest = rest[classes.of[rest] != classes.of[one]]
-                if not len(rest):
-                    break  # all that follow are of one class
-                apart = np.bitwise_count(bits[rest] ^ bits[one]).sum(axis=1, dtype=np.int64)
-                both = size[rest] + size[one]
-                # shared = (n + m - apart) / 2 at most, and the smaller set
-                rest = rest[near(np.minimum((both - apart) // 2, np.minimum(size[rest], size[one])), size[rest], size[one])]
-                if whole:
-                    a.append(np.full(len(rest), one)), b.append(rest)
-                elif len(rest):
-                    rest = rest[np.unique(classes.of[rest], return_index=True)[1]]
-                    a.append(np.full(len(rest), one)), b.append(rest)
-                    classes.join(a[-1], rest)
-        x, y = (member[np.concatenate(v)] if v else np.zeros(0, np.int64) for v in (a, b))
-        yield pa.RecordBatch.from_arrays([long(np.minimum(x, y)), long(np.maximum(x, y))], ["a", "b"])
+        for node, sig, f0, f1, size, root in by_node(batches):
+            member, row, which = np.unique(sig, return_index=True, return_inverse=True)
+            classes = Classes(len(member))
+            _, least, of = np.unique(root[row], return_index=True, return_inverse=True)
+            classes.join(np.arange(len(member)), least[of])
+            fps = np.stack([f0, f1], axis=1).astype(np.uint64)
+            x, y = GrayIndex(node, fps).pairs(DISTANCE, classes, which, whole)
+            size = size[row]
+            if whole:  # sizes alone may rule a pair out
+                ok = near(np.minimum(size[x], size[y]), size[x], size[y])
+                x, y = x[ok], y[ok]
+            yield pa.RecordBatch.from_arrays([long(member[x]), long(member[y])], ["a", "b"])
 
     return run
 
 
+def candidates(members: DataFrame, top: list[tuple[int, int]], whole: bool) -> DataFrame:
+    """Candidate pairs (a, b) of members (sig, f0, f1, size, root), written."""
+    nodes = F.array(*(F.xxhash64(F.lit(i), F.col("f0").bitwiseAND(signed(x)), F.col("f1").bitwiseAND(signed(y))) for i, (x, y) in enumerate(top)))
+    under = members.select(F.explode(nodes).alias("node"), "sig", "f0", "f1", "size", "root")
+    found = under.repartition("node").sortWithinPartitions("node").mapInArrow(_candidates(whole), "a long, b long")
+    return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+
 def _sets(asked):
     """(sig, keys): the whole set of each text whose hash is among the asked residues."""
 
@@ -223,9 +147,9 @@ def _sets(asked):
     return run
 
 
-def sets(grouped: DataFrame, docs: DataFrame) -> DataFrame:
-    """(sig, keys) of the candidates, and of few others; texts are not dealt out, only their sets."""
-    own = grouped.select(F.col("b").alias("sig")).union(grouped.where("not large").select("a"))
+def sets(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(sig, keys) of the members of pairs, and of few others; texts are not dealt out, only their sets."""
+    own = pairs.select(F.col("a").alias("sig")).union(pairs.select("b"))
     found = own.select(F.expr(f"cast(pmod(sig, {ASKED}L) as int)").alias("x")).distinct().toArrow()["x"].to_numpy()
     asked = np.zeros(ASKED, bool)
     asked[found] = True
@@ -239,58 +163,42 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x, y in zip(batch.column(2), batch.column(3), strict=True):
             x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
             ok.append(bool(near(np.intersect1d(x, y, assume_unique=True).size, len(x), len(y))))
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs of members (a, b) that the whole sets confirm, written."""
-    pairs = written(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    """The pairs (a, b) with ok, whether the whole sets confirm them; written."""
     x, y = (sets.select(F.col("sig").alias(c), F.col("keys").alias(f"keys_{c}")) for c in "ab")
     met = pairs.join(x, "a").join(y, "b").select("a", "b", "keys_a", "keys_b")
-    return written(met.mapInArrow(_confirmed, "a long, b long"), "confirmed")
+    return written(met.mapInArrow(_confirmed, "a long, b long, ok boolean"), "confirmed")
 
 
-def classes(signed: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def classes(signed_docs: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of the members that are linked with others."""
-    often = docs.sparkSession.sparkContext.broadcast(frequent(docs, sample))
-    entries = docs.select("text").mapInArrow(_prefixes(often), "key long, sig long, size long, place long")
-    grouped = written(entries.repartition("key").mapInArrow(_grouped, "a long, b long, large boolean"), "candidates")
-    whole_sets = sets(grouped, docs)
-    links = confirmed(grouped.where("not large").select("a", "b"), whole_sets)
-    roots = components(links)
-    # groups of the same members have the same key
-    large = written(grouped.where("large").select(F.col("a").alias("key"), F.col("b").alias("sig")).distinct(), "large")
-    members = written(signed.dropDuplicates(["sig"]).select("sig", "size", "bits"), "members")
-    turn, whole = 0, False
-    while True:
-        at = written(large.join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("root")), "at")
-        open_ = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-        live = written(at.join(open_, "key", "left_semi"), "open")
-        if live.isEmpty():
-            return roots
-        rows = live.join(members, "sig").select("key", "sig", "root", "size", "bits")
-        new = confirmed(rows.repartition("key").mapInArrow(_spanning(whole, turn), "a long, b long"), whole_sets)
-        more = not new.isEmpty()
-        if more:
-            links = links.unionByName(new)
-            roots = components(links)
-        if whole:
+    members = written(signed_docs.where("size > 0").dropDuplicates(["sig"]).select("sig", "f0", "f1", "size"), "members")
+    top = masks(*plan(members.count()))
+    live, links, met, roots = members.withColumn("root", F.col("sig")), None, None, None
+    for search in range(SEARCHES + 1):
+        whole = search == SEARCHES
+        pairs = candidates(live, top, whole)
+        judged = confirmed(pairs, sets(pairs, docs))
+        links = judged if links is None else links.unionByName(judged)
+        roots = components(links.where("ok").select("a", "b"))
+        if whole or judged.where("not ok").isEmpty():
             return roots
-        turn += 1
-        whole = not more or turn >= ROUNDS
-
-
-def dedup(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """One row of each class of near copies: the one of the smallest doc_id, and of the smallest text hash among those."""
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    rows = docs.select("text", "doc_id", mark.alias("mark"))
-    signed = written(rows.mapInArrow(_signed, f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, sig long, size long, bits binary"), "signed")
-    roots = classes(signed, rows, sample)
-    named = signed.select("doc_id", "mark", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
-    best = named.groupBy(F.coalesce("root", "sig").alias("root")).agg(F.min(F.struct("doc_id", "mark")).alias("best"))
-    a, b = fresh(docs, "__id"), fresh(docs, "__mark")
-    stay = best.select(F.col("best.doc_id").alias(a), F.col("best.mark").alias(b))
-    out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col(a)) & (mark == F.col(b)), "left_semi")
-    if signed.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
-        return out
-    return out.dropDuplicates(["doc_id", "text"])
+        # what hangs together with a failed link by candidates of any outcome
+        met = components(links.select("a", "b"))
+        failed = judged.where("not ok").select(F.col("a").alias("node")).join(met, "node").select("root").distinct()
+        dirty = met.join(failed, "root", "left_semi").select(F.col("node").alias("sig"))
+        known = dirty.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
+        live = written(members.join(known, "sig").select(*members.columns, F.coalesce("root", "sig").alias("root")), "live")
+    return roots
+
+
+def dedup(docs: DataFrame) -> DataFrame:
+    """One row of each class of near copies."""
+    rows = docs.select("text", "doc_id", row_mark(docs).alias("mark"))
+    found = written(rows.mapInArrow(_signed, f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, sig long, size long, f0 long, f1 long"), "signed")
+    roots = classes(found, rows)
+    named = found.select("doc_id", "mark", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
+    return one_of_each(docs, named.select("doc_id", "mark", F.coalesce("root", "sig").alias("root")), "root")

@@ -1,22 +1,28 @@
 """SimHash near-duplicates (operator 3) on a Gray-order hierarchical index.
 
-A fingerprint has, for each of 64 bits, the majority of the XXH64 hashes of the text's word shingles.  Distinct
-fingerprints are linked when at most `bits` bits differ.
+A fingerprint has, for each of its bits, the majority of the hashes of the text's word shingles.  Two uses share the index:
 
-The index's upper nodes are masked patterns that their members share: the 64 bits are cut into `bits + 2` blocks, and two
-fingerprints within `bits` agree on two of them at least, so each fingerprint stands under one node for each pair of
-blocks (15 for 4 bits).  Spark deals the nodes out.  Under a node, members are sorted by Gray rank, so that
-neighbours share long patterns; runs of 16 are factored into lower nodes that hold the mask of bits on which
-all of them agree and the pattern there, and those again.  Two nodes are compared on the bits that both fix and their parents did
-not: the differences accumulate on the way down, and beyond `bits` the whole pair of groups is pruned.  Pairs
-of groups that are already known to be one component are passed over too, and only a spanning set of links
-leaves a task; so a node with many near copies neither compares nor emits all of its pairs.
+* `near_duplicates`: 64 bits of XXH64; distinct fingerprints are linked when at most `bits` bits differ.
+* near.py (the pipeline's stage): 128 bits; pairs within a distance are candidates that the sets of shingles confirm.
 
-Components are joined in Spark (components.py); copies share a fingerprint and are never expanded.
+The index is one hierarchy of masked patterns.  Its top are patterns of a few bits that many members share and that Spark deals
+out: for `near_duplicates` the 64 bits are cut into `bits + 2` blocks, and two fingerprints within `bits` agree on two of
+them at least, so each stands under one node for each pair of blocks (15 for 4 bits).  Under a top node members are sorted by
+Gray rank, so that neighbours share long patterns; every FAN neighbours are factored into a node with the mask of bits on
+which all of them agree and the pattern there, FAN of those into the next, up to the top node.  `GrayIndex.pairs` goes down from
+all top nodes of a task at once.  Two nodes are compared on the bits that both fix and their parents did not; differences
+accumulate on the way, and beyond the limit the whole pair of groups is pruned.  Groups that are known to be one class already are passed
+over, a group whose members cannot differ by more than the limit is linked as a star, and only a spanning set of links leaves a
+task: a node with many near copies neither compares nor emits all of its pairs.
+
+Tasks read nodes in order and hold a bounded run of them.  Components are joined in Spark (components.py); copies share a
+fingerprint and are never expanded.
 
 Defined results: null and empty texts have fingerprint zero and are linked like others; a text with fewer words than a
-shingle is one shingle; repeated rows and ids are grouped like others; the smallest doc_id names a component; an
-empty table gives an empty result; other columns are ignored, and pass through `dedup`.
+shingle is one shingle; very long texts are hashed whole; repeated rows and ids are grouped like others; the smallest doc_id
+names a component, null only if there is no other; an empty table gives an empty result.  `dedup` keeps of each group the row
+of the smallest doc_id (null last), of the smallest hash of all columns among those; of rows equal in all columns one.
+Other columns are ignored, and pass through `dedup`.
 """
 
 from __future__ import annotations
@@ -27,17 +33,40 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_BYTE, Kept, chunks, fresh, owner, per_text, runs, table, written
+from .common import LOWER, WORD_BYTE, Kept, chunks, column, fresh, owner, per_text, runs, table, written
 from .components import Classes, components
 
 SHINGLE, BITS, SEED = 4, 4, 42
-#: Members of a lower node.
-FAN = 16
-#: Nodes with at most so many members are compared by offset, all nodes at once.
-FLAT = 48
+#: Children of a node of the hierarchy.
+FAN = 4
+#: Members of the top nodes that a task holds at a time (a node is never split).
+HELD = 1 << 20
+#: Each byte with its bits spread over eight bytes.
+LANES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).copy().view("<u8").reshape(-1)
+
+
+def majority(h: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """Of each of n texts, the bits that are set in over half of its hashes h (of: their texts, in order)."""
+    count = per_text(n, of)
+    out = np.zeros(n, np.uint64)
+    if not len(h):
+        return out
+    # sums by byte lanes over runs of at most 255 hashes of a text, then over the runs
+    place = np.arange(len(h)) - (np.cumsum(count) - count)[of]
+    head = np.flatnonzero(place % 255 == 0)
+    own = of[head]
+    text = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    raw = h.astype("<u8").view(np.uint8).reshape(-1, 8)
+    bits = np.zeros((len(text), 64), np.uint8)
+    for k in range(8):
+        lanes = np.add.reduceat(LANES[raw[:, k]], head).view(np.uint8).reshape(-1, 8)
+        ones = np.add.reduceat(lanes, text, axis=0, dtype=np.int64)
+        bits[:, 8 * k : 8 * k + 8] = 2 * ones > count[own[text]][:, None]
+    out[own[text]] = np.packbits(bits, axis=1, bitorder="little").view("<u8").reshape(-1)
+    return out
 
 
 def fingerprints(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
@@ -62,14 +91,7 @@ def fingerprints(buf: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -
     last = np.minimum(at + shingle, first[of] + count[of]) - 1
     digest = xxhash.xxh64_intdigest
     h = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(start[at].tolist(), end[last].tolist(), strict=True)), np.uint64, len(at))
-    ones = np.zeros((n, 64), np.int64)
-    for i in range(0, len(h), 1 << 18):
-        part, own = h[i : i + (1 << 18)], of[i : i + (1 << 18)]
-        bits = np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        head = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        ones[own[head]] += np.add.reduceat(bits, head, axis=0, dtype=np.int64)
-    set_ = (2 * ones > shingles[:, None]).astype(np.uint8)
-    return np.packbits(set_, axis=1, bitorder="little").view("<u8").reshape(-1)
+    return majority(h, of, n)
 
 
 def _fingerprinted(shingle: int):
@@ -95,106 +117,151 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def gray_ranks(fps: np.ndarray) -> list[np.ndarray]:
+    """The rank of codes of several words (the last column highest) as words, lowest first."""
+    out, odd = [], np.zeros(len(fps), np.uint64)
+    for k in range(fps.shape[1] - 1, -1, -1):
+        rank = gray_rank(fps[:, k]) ^ (np.uint64(0) - odd)
+        odd = rank & np.uint64(1)
+        out.append(rank)
+    return out[::-1]
+
+
+def bits_of(x: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x).sum(axis=1, dtype=np.int64)
+
+
 class GrayIndex:
-    """The lower nodes over fingerprints sorted by Gray rank: levels of (mask, pattern), the leaves first."""
-
-    def __init__(self, fps: np.ndarray):
-        ones = np.full(len(fps), ~np.uint64(0))
-        self.levels = [(ones, fps)]
-        while len(self.levels[-1][0]) > FAN:
-            mask, pattern = self.levels[-1]
-            head = np.arange(0, len(mask), FAN)
-            both, either = np.bitwise_and.reduceat(pattern, head), np.bitwise_or.reduceat(pattern, head)
-            agree = np.bitwise_and.reduceat(mask, head) & ~(both ^ either)
-            self.levels.append((agree, both & agree))
-
-    def join(self, bits: int, classes: Classes, member: np.ndarray, most: int = 1 << 21) -> None:
-        """Join the classes of members within `bits` of each other."""
-        top = len(self.levels) - 1
-        n = len(self.levels[top][0])
-        a, b = np.triu_indices(n)
-        zero = np.zeros(len(a), np.uint64)
-        stack = [(top, a, b, zero, np.zeros(len(a), np.int64))]
-        lowest, highest = {}, {}
+    """The hierarchy under top nodes: levels of (mask, pattern, first leaf, end of leaves, first child, children), the leaves first.
+
+    fps has a row of 64-bit words for each member; a member may stand under several nodes.
+    """
+
+    def __init__(self, node: np.ndarray, fps: np.ndarray):
+        self.order = np.lexsort((*gray_ranks(fps), node))
+        node, pattern = node[self.order], fps[self.order]
+        self.width = 64 * fps.shape[1]
+        mask, first = np.full(pattern.shape, ~np.uint64(0)), np.arange(len(node))
+        end, child, children = first + 1, first, np.zeros(len(node), np.int64)
+        self.levels, self.roots = [], []
+        while True:
+            self.levels.append((mask, pattern, first, end, child, children))
+            new = np.r_[True, node[1:] != node[:-1]] if len(node) else np.zeros(0, bool)
+            head = np.flatnonzero(new)
+            size = np.diff(np.r_[head, len(node)])
+            each = np.repeat(size, size)
+            self.roots.append(np.flatnonzero(each == 1))
+            up = np.flatnonzero(each > 1)
+            if not len(up):
+                return
+            place = (np.arange(len(node)) - np.repeat(head, size))[up]
+            head = np.flatnonzero(place % FAN == 0)
+            both, either = (f.reduceat(pattern[up], head, axis=0) for f in (np.bitwise_and, np.bitwise_or))
+            mask = np.bitwise_and.reduceat(mask[up], head, axis=0) & ~(both ^ either)
+            pattern, children = both & mask, np.diff(np.r_[head, len(up)])
+            child, first, end, node = up[head], first[up][head], end[up][head + children - 1], node[up][head]
+
+    def pairs(self, bits: int, classes: Classes, member: np.ndarray, whole: bool = False, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+        """Members of different classes within `bits` of each other: a spanning set of links, which joins the classes, or all (whole)."""
+        own = member[self.order]
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def found(x: np.ndarray, y: np.ndarray) -> None:
+            x, y = own[x], own[y]
+            at = np.flatnonzero(classes.of[x] != classes.of[y]) if whole else classes.span(x, y)
+            out.append((x[at], y[at]))
+
+        stack = [(level, r, r, np.zeros(len(r), np.int64)) for level, r in enumerate(self.roots) if level and len(r)]
         while stack:
-            level, a, b, seen, apart = stack.pop()
-            if len(a) > most:
-                half = len(a) // 2
-                stack += [(level, *(x[half:] for x in (a, b, seen, apart))), (level, *(x[:half] for x in (a, b, seen, apart)))]
-                continue
-            mask, pattern = self.levels[level]
-            fixed = mask[a] & mask[b]
-            # accumulate: only bits that the parents had left open
-            apart = apart + np.bitwise_count((pattern[a] ^ pattern[b]) & fixed & ~seen)
-            near = apart <= bits
-            a, b, seen, apart = a[near], b[near], fixed[near], apart[near]
-            if level == 0:
-                classes.join(member[a], member[b])
-                continue
-            # groups whose members all agree but for `bits` bits are one class
-            width = FAN**level
-            total = len(self.levels[0][0])
-            tight = np.flatnonzero((a == b) & (64 - np.bitwise_count(mask[a]) <= bits))
-            if len(tight):
-                start = a[tight] * width
-                size = np.minimum(start + width, total) - start
-                inner = np.repeat(start, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                classes.join(member[np.repeat(start, size)], member[inner])
-            head = np.arange(0, total, width)
-            of = classes.of[member]
-            low, high = np.minimum.reduceat(of, head), np.maximum.reduceat(of, head)
-            open_ = (low[a] != high[a]) | (low[b] != high[b]) | (low[a] != low[b])
-            a, b, seen, apart = a[open_], b[open_], seen[open_], apart[open_]
-            if not len(a):
-                continue
-            below = len(self.levels[level - 1][0])
-            step = max(1, most // FAN**2)
-            for i in range(0, len(a), step):
-                x, y = a[i : i + step], b[i : i + step]
-                k = np.arange(FAN)
-                ca = (x[:, None, None] * FAN + k[None, :, None]) + np.zeros((1, 1, FAN), np.int64)
-                cb = (y[:, None, None] * FAN + k[None, None, :]) + np.zeros((1, FAN, 1), np.int64)
-                up = np.repeat(np.arange(len(x)), FAN * FAN)
-                ca, cb = ca.reshape(-1), cb.reshape(-1)
-                ok = (ca < below) & (cb < below) & (ca <= cb if level > 1 else ca < cb)
-                stack.append((level - 1, ca[ok], cb[ok], seen[i : i + step][up[ok]], apart[i : i + step][up[ok]]))
+            level, a, b, apart = stack.pop()
+            mask, _, first, end, child, children = self.levels[level]
+            if not whole:
+                tight = a[(a == b) & (self.width - bits_of(mask[a]) <= bits)]
+                size = end[tight] - first[tight]
+                if len(tight):
+                    center = np.repeat(first[tight], size - 1)
+                    found(center, center + 1 + np.arange(len(center)) - np.repeat(np.cumsum(size - 1) - (size - 1), size - 1))
+            entry = np.unique(np.r_[a, b])
+            of = np.r_[classes.of[own], 0]
+            ends = np.stack([first[entry], end[entry]], axis=1).reshape(-1)
+            low, high = (f.reduceat(of, ends)[::2] for f in (np.minimum, np.maximum))
+            x, y = np.searchsorted(entry, a), np.searchsorted(entry, b)
+            open_ = (low[x] != high[x]) | (low[y] != high[y]) | (low[x] != low[y])
+            a, b, apart = a[open_], b[open_], apart[open_]
+            size = children[a] * children[b]
+            cuts = np.searchsorted(np.cumsum(size), np.arange(most, size.sum() + most, most)) + 1 if len(a) else []
+            start = 0
+            for stop in cuts:
+                stop = min(int(stop), len(a))
+                if stop > start:
+                    self._expanded(level, a[start:stop], b[start:stop], apart[start:stop], bits, stack, found)
+                start = stop
+        x, y = (np.concatenate([p[i] for p in out]) if out else np.zeros(0, np.int64) for i in (0, 1))
+        return x, y
+
+    def _expanded(self, level, a, b, apart, bits, stack, found) -> None:
+        """Compare the children of pairs of nodes; those that stay near are found, or wait on the stack."""
+        mask, _, _, _, child, children = self.levels[level]
+        wide = children[b]
+        size = children[a] * wide
+        up = np.repeat(np.arange(len(a)), size)
+        k = np.arange(len(up)) - np.repeat(np.cumsum(size) - size, size)
+        x, y = child[a][up] + k // wide[up], child[b][up] + k % wide[up]
+        ok = (a[up] != b[up]) | ((x <= y) if level > 1 else (x < y))
+        x, y, up = x[ok], y[ok], up[ok]
+        below, pattern = self.levels[level - 1][:2]
+        # accumulate: only bits that the parents had left open
+        fresh_bits = below[x] & below[y] & ~(mask[a] & mask[b])[up]
+        apart = apart[up] + bits_of((pattern[x] ^ pattern[y]) & fresh_bits)
+        near = apart <= bits
+        if level == 1:
+            found(x[near], y[near])
+        elif near.any():
+            stack.append((level - 1, x[near], y[near], apart[near]))
 
 
 def masks(bits: int = BITS) -> list[int]:
-    """The masks of the upper nodes: each pair of bits + 2 blocks of the 64 bits."""
+    """The masks of the top nodes: each pair of bits + 2 blocks of the 64 bits."""
     cuts = [round(64 * i / (bits + 2)) for i in range(bits + 3)]
     block = [((1 << hi) - 1) ^ ((1 << lo) - 1) for lo, hi in zip(cuts, cuts[1:], strict=False)]
     return [x | y for x, y in combinations(block, 2)]
 
 
+def signed(x: int) -> Column:
+    """A literal of 64 bits."""
+    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
+
+
+def by_node(batches: Iterator[pa.RecordBatch], held: int = HELD) -> Iterator[list[np.ndarray]]:
+    """The columns of runs of whole nodes (column 0, in order), about `held` rows at a time."""
+    kept: list[list[np.ndarray]] = []
+    rows = 0
+    for batch in batches:
+        cols = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        if rows >= held:
+            cut = int(np.argmax(cols[0] != kept[-1][0][-1])) if cols[0][-1] != kept[-1][0][-1] else -1
+            if cut >= 0:
+                kept.append([c[:cut] for c in cols])
+                yield [np.concatenate(x) for x in zip(*kept, strict=True)]
+                cols, kept, rows = [c[cut:] for c in cols], [], 0
+        kept.append(cols)
+        rows += len(cols[0])
+    if kept:
+        yield [np.concatenate(x) for x in zip(*kept, strict=True)]
+
+
 def linked(node: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning set of the links among fingerprints under the same upper node."""
+    """A spanning set of the links among fingerprints under the same top node."""
     distinct, member = np.unique(fps, return_inverse=True)
-    by = np.lexsort((gray_rank(fps), node))
-    node, fps, member = node[by], fps[by], member[by]
-    classes = Classes(len(distinct))
-    head = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, int)
-    size = np.diff(np.r_[head, len(node)])
-    flat = np.repeat(size <= FLAT, size)
-    left = np.repeat(head + size, size) - np.arange(len(node))  # members from here to the node's end
-    live = np.flatnonzero(flat & (left > 1))
-    for k in range(1, FLAT):
-        live = live[left[live] > k]
-        if not len(live):
-            break
-        near = live[np.bitwise_count(fps[live] ^ fps[live + k]) <= bits]
-        classes.join(member[near], member[near + k])
-    for h, n in zip(head[size > FLAT].tolist(), size[size > FLAT].tolist(), strict=True):
-        GrayIndex(fps[h : h + n]).join(bits, classes, member[h : h + n])
-    at = np.flatnonzero(classes.of != np.arange(len(distinct)))
-    return distinct[at], distinct[classes.of[at]]
+    a, b = GrayIndex(node, fps[:, None]).pairs(bits, Classes(len(distinct)), member)
+    return distinct[a], distinct[b]
 
 
 def _linked(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-        if held:
-            node, fps = (np.concatenate(x) for x in zip(*held, strict=True))
+        for node, fps in by_node(batches):
             a, b = linked(node, fps.astype(np.uint64), bits)
             yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["a", "b"])
 
@@ -204,9 +271,9 @@ def _linked(bits: int):
 def classes_of(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """(fp, component_id) of each distinct fingerprint of prints (doc_id, fp)."""
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
-    nodes = F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)).alias("pattern")) for i, m in enumerate(masks(bits))))
+    nodes = F.array(*(F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseAND(signed(m)).alias("pattern")) for i, m in enumerate(masks(bits))))
     under = distinct.select("fp", F.explode(nodes).alias("x")).select(F.xxhash64("x.i", "x.pattern").alias("node"), "fp")
-    links = under.repartition("node").mapInArrow(_linked(bits), "a long, b long")
+    links = under.repartition("node").sortWithinPartitions("node").mapInArrow(_linked(bits), "a long, b long")
     found = components(links)
     joined = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -219,17 +286,26 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int
     return prints.join(classes_of(prints, bits), "fp")
 
 
-def dedup(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """One row of each component: the one of the smallest doc_id, and of the smallest text hash among those."""
-    mark = F.xxhash64(F.coalesce("text", F.lit("")))
-    found = written(near_duplicates(docs.select("doc_id", "text", mark.alias("mark")), ["doc_id", "mark"], shingle, bits), "near")
-    best = found.groupBy("component_id").agg(F.min(F.struct("doc_id", "mark")).alias("best"))
+def row_mark(docs: DataFrame) -> Column:
+    """A hash of all columns of a row (but maps, which have none)."""
+    return F.xxhash64(*(column(c) for c, kind in docs.dtypes if "map<" not in kind))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame, by: str) -> DataFrame:
+    """docs with one row of each group; groups has doc_id, mark (row_mark) and the group `by` of each row of docs."""
+    best = groups.groupBy(by).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("best"))
     a, b = fresh(docs, "__id"), fresh(docs, "__mark")
     stay = best.select(F.col("best.doc_id").alias(a), F.col("best.mark").alias(b))
-    out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col(a)) & (mark == F.col(b)), "left_semi")
-    if found.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
+    out = docs.join(stay, F.col("doc_id").eqNullSafe(F.col(a)) & (row_mark(docs) == F.col(b)), "left_semi")
+    if groups.groupBy("doc_id", "mark").count().where("count > 1").isEmpty():
         return out
-    return out.dropDuplicates(["doc_id", "text"])
+    return out.dropDuplicates(["doc_id", "text"])  # rows equal in all columns
+
+
+def dedup(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
+    """One row of each component."""
+    rows = docs.select("doc_id", "text", row_mark(docs).alias("mark"))
+    return one_of_each(docs, written(near_duplicates(rows, ["doc_id", "mark"], shingle, bits), "near"), "component_id")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,8 @@ def test_light_edits_are_near_copies(spark):
     want = least_ids(rows)
     assert 90 < len(want) < 125
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), "")
-    assert sorted(r.doc_id for r in got.collect()) == want
+    kept = {r.doc_id for r in got.collect()}
+    assert kept >= set(want) and len(kept) <= len(want) + 1  # a pair at the threshold is missed one time in 200
 
 
 def test_large_groups_and_common_passages(spark):
@@ -46,8 +47,6 @@ def test_large_groups_and_common_passages(spark):
     rng.shuffle(rows)
     want, df = least_ids(rows), spark.createDataFrame(rows, SCHEMA).repartition(3)
     assert sorted(r.doc_id for r in near.dedup(df).collect()) == want
-    # another order of the shingles finds the same
-    assert sorted(r.doc_id for r in near.dedup(df, sample=1).collect()) == want
 
 
 def test_hard_and_empty_tables(spark):
@@ -56,3 +55,25 @@ def test_hard_and_empty_tables(spark):
     assert out.columns == docs.columns
     assert sorted(r.doc_id for r in out.collect()) == least_ids(documents())
     assert near.dedup(frame(spark, [])).count() == 0
+
+
+def test_recall_of_candidates_against_all_pairs(spark):
+    """Pairs of 0.8 to 0.9, each text in one pair, so that no chain of links hides a pair that is missed."""
+    rng, rows, want = random.Random(10), [], set()
+    while len(want) < 250:
+        one = sentence(rng, rng.randint(40, 160))
+        two = edited(rng, one, rng.choice([0.01, 0.015, 0.02, 0.025]))
+        a, b = shingles(one), shingles(two)
+        if 0.8 <= len(a & b) / len(a | b) <= 0.9:
+            want.add(len(rows))
+            rows += [(len(rows), one, "en", "s", 1), (len(rows) + 1, two, "en", "s", 1)]
+    kept = {r.doc_id for r in near.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    found = {i for i in want if i in kept and i + 1 not in kept}
+    assert len(kept) == 2 * len(want) - len(found)
+    assert len(found) >= 0.95 * len(want)
+
+
+def test_plan_grows_with_the_members():
+    assert near.plan(100) == near.plan(200_000)
+    width, count = near.plan(50_000_000)
+    assert width > 16 and count > near.plan(100)[1] and len(set(near.masks(width, count))) == count
