@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, WORD_BYTE, chunks, mix, owner, per_text, prefix_hash, runs, span_hash, written
 from .components import Classes, components
-from .simhash import GrayIndex, by_node, majority, one_of_each, row_mark, signed
+from .simhash import GrayIndex, by_node, majority, one_of_each, row_mark
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of 128 in which candidates may differ: three deviations above the mean at the threshold.
@@ -104,18 +104,31 @@ def near(shared: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return 9 * shared >= 4 * (n + m)
 
 
+def _under(top: list[tuple[int, int]]):
+    """Members once for each top node they stand under, named by a hash of the mask's number and the pattern."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f0, f1 = (batch.column(batch.schema.get_field_index(c)).to_numpy().astype(np.uint64) for c in ("f0", "f1"))
+            for i, (x, y) in enumerate(top):
+                node = mix((f0 & np.uint64(x)) + mix((f1 & np.uint64(y)) + np.uint64(i)))
+                yield pa.RecordBatch.from_arrays([long(node), *batch.columns], ["node", *batch.schema.names])
+
+    return run
+
+
 def _candidates(whole: bool):
     """Candidate links (a, b) among members of different classes under the same top nodes: a spanning set, or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, sig, f0, f1, size, root in by_node(batches):
+        for node, sig, f0, f1, *rest in by_node(batches):
             member, row, which = np.unique(sig, return_index=True, return_inverse=True)
             classes = Classes(len(member))
-            _, least, of = np.unique(root[row], return_index=True, return_inverse=True)
-            classes.join(np.arange(len(member)), least[of])
-            fps = np.stack([f0, f1], axis=1).astype(np.uint64)
-            x, y = GrayIndex(node, fps).pairs(DISTANCE, classes, which, whole)
-            size = size[row]
+            if rest:  # (size, root): some are one class already
+                size = rest[0][row]
+                _, least, of = np.unique(rest[1][row], return_index=True, return_inverse=True)
+                classes.join(np.arange(len(member)), least[of])
+            x, y = GrayIndex(node, np.stack([f0, f1], axis=1).astype(np.uint64)).pairs(DISTANCE, classes, which, whole)
             if whole:  # sizes alone may rule a pair out
                 ok = near(np.minimum(size[x], size[y]), size[x], size[y])
                 x, y = x[ok], y[ok]
@@ -125,9 +138,8 @@ def _candidates(whole: bool):
 
 
 def candidates(members: DataFrame, top: list[tuple[int, int]], whole: bool) -> DataFrame:
-    """Candidate pairs (a, b) of members (sig, f0, f1, size, root), written."""
-    nodes = F.array(*(F.xxhash64(F.lit(i), F.col("f0").bitwiseAND(signed(x)), F.col("f1").bitwiseAND(signed(y))) for i, (x, y) in enumerate(top)))
-    under = members.select(F.explode(nodes).alias("node"), "sig", "f0", "f1", "size", "root")
+    """Candidate pairs (a, b) of members (sig, f0, f1, and size and root where some are one class), written."""
+    under = members.mapInArrow(_under(top), "node long, " + ", ".join(f"{c} long" for c in members.columns))
     found = under.repartition("node").sortWithinPartitions("node").mapInArrow(_candidates(whole), "a long, b long")
     return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
@@ -177,11 +189,13 @@ def classes(signed_docs: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of the members that are linked with others."""
     members = written(signed_docs.where("size > 0").dropDuplicates(["sig"]).select("sig", "f0", "f1", "size"), "members")
     top = masks(*plan(members.count()))
-    live, links, met, roots = members.withColumn("root", F.col("sig")), None, None, None
+    live, links, whole_sets = members.select("sig", "f0", "f1"), None, None
     for search in range(SEARCHES + 1):
         whole = search == SEARCHES
         pairs = candidates(live, top, whole)
-        judged = confirmed(pairs, sets(pairs, docs))
+        if whole_sets is None:  # later searches are among the same members
+            whole_sets = sets(pairs, docs)
+        judged = confirmed(pairs, whole_sets)
         links = judged if links is None else links.unionByName(judged)
         roots = components(links.where("ok").select("a", "b"))
         if whole or judged.where("not ok").isEmpty():
@@ -192,7 +206,6 @@ def classes(signed_docs: DataFrame, docs: DataFrame) -> DataFrame:
         dirty = met.join(failed, "root", "left_semi").select(F.col("node").alias("sig"))
         known = dirty.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
         live = written(members.join(known, "sig").select(*members.columns, F.coalesce("root", "sig").alias("root")), "live")
-    return roots
 
 
 def dedup(docs: DataFrame) -> DataFrame:
