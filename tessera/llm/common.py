@@ -40,9 +40,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a local one where it is unset (tests, one machine)."""
+    """The folder all machines share: spark.checkpoint.dir, or a local one where it is unset and there is one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "/tmp/checkpoints/tessera"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -83,6 +85,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_mark(docs: DataFrame) -> Column:
+    """A hash of all columns of a row (but maps, which have none)."""
+    return F.xxhash64(*(column(c) for c, kind in docs.dtypes if "map<" not in kind))
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the hash base and of its inverse, modulo 2**64."""
     global _pow, _inv

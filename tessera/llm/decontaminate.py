@@ -1,15 +1,18 @@
 """Benchmark decontamination (operator 10) by training suffix arrays.
 
-Each shard (a chunk of whole training texts) gets a suffix array over its words: the start of every word, sorted by the
-words that follow, as many as a window has.  Every suffix of every test item is binary-searched in every shard, one
-word after another, which gives its longest verbatim match there and the range of its locations.  Benchmarks are
-broadcast in blocks of bounded size; a larger one is searched block by block, so neither side is ever shuffled or held whole.
+Each shard (a chunk of whole training texts) gets a suffix array over its words: the start of every word, sorted by all the
+words that follow (by prefix doubling, until no two suffixes are alike or as far as the longest item reaches).  Every
+suffix of every test item is binary-searched in every shard, one word after another as far as it matches; on the way its range at the
+window's length gives the locations of its windows.  At each location the match is followed to its end, so every document
+gets its longest verbatim match with any one item.  Benchmarks are sent in blocks of bounded size; a larger one is searched
+block by block, so neither side is ever shuffled or held whole.
 
 Words are `[^\x00-\x2F\x3A-\x60\x7B-\x7F]+` after A-Z are lower-cased, compared by 64-bit hashes.  An item's windows are
 its runs of 10 words, or the whole item if it has fewer (none if it has no word).
 
 Defined results: null and empty texts have no words, so no hits; repeated items and rows each count; an item id that
-repeats counts once; an empty benchmark leaves every document clean; other columns are ignored, and pass through `clean`.
+repeats counts once; a match shorter than a window (or than the whole item, if that has fewer words) is none; very long texts
+are a shard of their own; an empty benchmark leaves every document clean; other columns are ignored, and pass through `clean`.
 """
 
 from __future__ import annotations
@@ -37,9 +40,9 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class SuffixArray:
-    """The word suffixes of a chunk of texts, sorted by their first `depth` words; none goes on into the next text."""
+    """The word suffixes of a chunk of texts in order, none beyond its text; words beyond `depth` don't count."""
 
-    def __init__(self, hashes: np.ndarray, texts: np.ndarray, depth: int = WINDOW):
+    def __init__(self, hashes: np.ndarray, texts: np.ndarray, depth: int):
         self.known, ids = np.unique(hashes, return_inverse=True)
         n = len(ids)
         # the words with a 0 after each text, and 0s to read beyond the end
@@ -47,26 +50,44 @@ class SuffixArray:
         self.words = np.zeros((self.place[-1] if n else 0) + 2 * depth + 2, np.int64)
         self.words[self.place] = ids + 1
         rank, width = self.words[: len(self.words) - depth].copy(), 1
-        while width < depth:
-            key = rank * (len(rank) + 2)
-            key[:-width] += rank[width:]
-            rank = np.unique(key, return_inverse=True)[1]
+        live = np.flatnonzero(rank)  # suffixes that are not alone with their first words yet
+        while width < depth and len(live):
+            after = np.zeros(len(live), np.int64)
+            inside = live + width < len(rank)
+            after[inside] = rank[live[inside] + width]
+            by = np.lexsort((after, rank[live]))
+            first, second = rank[live][by], after[by]
+            new = np.r_[True, (first[1:] != first[:-1]) | (second[1:] != second[:-1])]
+            head = np.r_[True, first[1:] != first[:-1]]
+            # a rank is the number of smaller suffixes and so leaves room for those that part later
+            start = first[head][np.cumsum(head) - 1] if width > 1 else None
+            if start is None:
+                place = np.arange(1, len(live) + 1)
+            else:
+                place = start + np.arange(len(live)) - np.flatnonzero(head)[np.cumsum(head) - 1]
+            fresh = place[np.flatnonzero(new)[np.cumsum(new) - 1]]
+            rank[live[by]] = fresh
+            alone = new & np.r_[new[1:], True]
+            live = live[by][~alone]
             width *= 2
         self.order = np.argsort(rank, kind="stable")
         self.order = self.order[self.words[self.order] > 0]
 
-    def search(self, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of each row of word hashes (0: none): how many of its words match in a row, and the range of such suffixes."""
-        n = len(suffixes)
+    def search(self, suffixes: Suffixes, window: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each distinct suffix: how many of its words match in a row at most, and the range of suffixes that match its first
+        `window` words (empty if none)."""
+        n = len(suffixes.start)
         low, high, longest = np.zeros(n, np.int64), np.full(n, len(self.order)), np.zeros(n, np.int64)
-        live = np.arange(n)
-        for k in range(suffixes.shape[1]):
-            h = suffixes[live, k]
-            at = np.minimum(np.searchsorted(self.known, h), max(len(self.known) - 1, 0))
-            there = (self.known[at] == h) & (h != 0) if len(self.known) else np.zeros(len(live), bool)
+        at_window = np.zeros((2, n), np.int64)
+        live, k = np.arange(n), 0
+        while True:
+            live = live[suffixes.size[live] > k]
+            if not len(live) or not len(self.known):
+                return longest, *at_window
+            h = suffixes.hashes[suffixes.start[live] + k]
+            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            there = self.known[at] == h
             live, word = live[there], at[there] + 1
-            if not len(live):
-                break
             ends = []
             for right in (False, True):
                 a, b = low[live].copy(), high[live].copy()
@@ -77,53 +98,62 @@ class SuffixArray:
                     a, b = np.where(up, m + 1, a), np.where(open_ & ~up, m, b)
                 ends.append(a)
             found = ends[0] < ends[1]
-            live = live[found]
-            low[live], high[live], longest[live] = ends[0][found], ends[1][found], k + 1
-        return longest, low, high
+            live, k = live[found], k + 1
+            low[live], high[live], longest[live] = ends[0][found], ends[1][found], k
+            full = live[window[live] == k]
+            at_window[0, full], at_window[1, full] = low[full], high[full]
+
+    def extended(self, at: np.ndarray, suffixes: Suffixes, which: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """How many words from `at` on are those of the suffixes `which`; the first `known` are."""
+        size, live = known.copy(), np.arange(len(at))
+        while True:
+            live = live[size[live] < suffixes.size[which[live]]]
+            if not len(live):
+                return size
+            word, h = self.words[at[live] + size[live]], suffixes.hashes[suffixes.start[which[live]] + size[live]]
+            live = live[(word > 0) & (self.known[np.maximum(word, 1) - 1] == h)]
+            size[live] += 1
+
 
+class Suffixes:
+    """Every suffix of every item: where it starts in the hashes of all words, its words, and its item."""
 
-def suffixes_of(items: list[tuple[str, str | None]], depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Every suffix of every item as a row of its next words' hashes; how many words must match for a window; the item."""
-    hashes, item = words(*strings(pa.array([x for _, x in items], pa.large_string())))
-    hashes = np.where(hashes == 0, np.uint64(1), hashes)
-    size = per_text(len(items), item)
-    rows = np.zeros((len(hashes), depth), np.uint64)
-    for k in range(depth):
-        at = np.flatnonzero(item[k:] == item[: max(len(item) - k, 0)]) if k else np.arange(len(hashes))
-        rows[at, k] = hashes[at + k]
-    return rows, np.minimum(size, depth)[item], item
+    def __init__(self, items: list[tuple[str, str | None]]):
+        hashes, self.item = words(*strings(pa.array([x for _, x in items], pa.large_string())))
+        self.hashes = hashes
+        n = len(hashes)
+        count = per_text(len(items), self.item)
+        self.start = np.arange(n)
+        self.size = np.cumsum(count)[self.item] - self.start if n else np.zeros(0, np.int64)
+        self.words = count[self.item] if n else np.zeros(0, np.int64)
 
 
-def _searched(items: list[tuple[str, str | None]], depth: int):
+def _searched(items: list[tuple[str, str | None]], window: int):
     """A pass over texts and what earlier blocks found: adds the words hit, the items found and the longest match."""
-    rows, need, item = suffixes_of(items, depth)
-    distinct, back = np.unique(np.c_[rows, need.astype(np.uint64)], axis=0, return_inverse=True) if len(rows) else (np.zeros((0, depth + 1), np.uint64), np.zeros(0, int))
-    back = back.reshape(-1)
-    needed = distinct[:, depth].astype(np.int64)
-    holders = np.argsort(back, kind="stable")
-    holder_at = np.searchsorted(back[holders], np.arange(len(distinct) + 1))
+    suffixes = Suffixes(items)
+    need = np.minimum(suffixes.words, window)
+    deepest = int(suffixes.size.max()) if len(suffixes.size) else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, offsets in chunks(batch.column(0)):
                 hashes, text = words(buf, offsets)
-                hashes = np.where(hashes == 0, np.uint64(1), hashes)
-                index = SuffixArray(hashes, text, depth)
-                longest, low, high = index.search(distinct[:, :depth])
-                full = np.flatnonzero(longest >= needed) if len(distinct) else np.zeros(0, int)
+                index = SuffixArray(hashes, text, deepest)
+                _, low, high = index.search(suffixes, need)
+                full = np.flatnonzero(low < high)
                 n = high[full] - low[full]
                 which = np.repeat(full, n)
                 at = index.order[np.repeat(low[full] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(full) else np.zeros(0, int)
                 marks = np.zeros(len(index.words) + 1, np.int64)
                 np.add.at(marks, at, 1)
-                np.add.at(marks, at + needed[which], -1)
+                np.add.at(marks, at + need[which], -1)
                 hit = np.cumsum(marks)[index.place] > 0 if len(text) else np.zeros(0, bool)
-                word_of = np.searchsorted(index.place, at)
-                pairs = np.unique(np.c_[text[word_of], which], axis=0) if len(at) else np.zeros((0, 2), int)
+                own = text[np.searchsorted(index.place, at)] if len(at) else at
                 found: dict[int, set[str]] = {}
-                for t, w in pairs.tolist():
-                    found.setdefault(t, set()).update(items[x][0] for x in item[holders[holder_at[w] : holder_at[w + 1]]].tolist())
-                best = _longest(text[word_of], at, needed[which]) if len(at) else {}
+                for t, x in np.unique(np.c_[own, suffixes.item[which]], axis=0).tolist() if len(at) else ():
+                    found.setdefault(t, set()).add(items[x][0])
+                best = np.zeros(j - i, np.int64)
+                np.maximum.at(best, own, index.extended(at, suffixes, which, need[which]))
                 n_words = per_text(j - i, text)
                 where = np.r_[0, np.cumsum(n_words)]
                 masks, names, most = ([x.as_py() for x in batch.column(c).slice(i, j - i)] for c in (2, 3, 4))
@@ -131,27 +161,13 @@ def _searched(items: list[tuple[str, str | None]], depth: int):
                     mask = np.packbits(hit[where[t] : where[t + 1]])
                     masks[t] = (mask | np.frombuffer(masks[t], np.uint8) if masks[t] else mask).tobytes()
                     names[t] = sorted(ids | set(names[t]))
-                    most[t] = max(most[t], best[t])
+                    most[t] = max(most[t], int(best[t]))
                 new = [pa.array(n_words), pa.array(masks, pa.binary()), pa.array(names, pa.list_(pa.string())), pa.array(most, pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *new, *(batch.column(c).slice(i, j - i) for c in range(5, batch.num_columns))], batch.schema.names)
 
     return run
 
 
-def _longest(texts: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> dict[int, int]:
-    """Words of the longest verbatim match of each text with any item: windows found at consecutive words run together."""
-    by = np.lexsort((at, texts))
-    t, a, n = texts[by], at[by], sizes[by]
-    new = np.r_[True, (t[1:] != t[:-1]) | (a[1:] > a[:-1] + 1)]
-    group = np.cumsum(new) - 1
-    last = np.zeros(group[-1] + 1, np.int64)
-    np.maximum.at(last, group, a + n)
-    out: dict[int, int] = {}
-    for text, length in zip(t[new].tolist(), (last - a[new]).tolist(), strict=True):
-        out[text] = max(out.get(text, 0), length)
-    return out
-
-
 def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
     """The items, in blocks of at most `most` bytes (an item is never split)."""
     held, size = [], 0
@@ -164,8 +180,9 @@ def blocks(benchmark: DataFrame, most: int = BLOCK_BYTES) -> Iterator[list[tuple
     yield held
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, depth: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with found_words, found_mask (a bit for each word, 1: hit; empty: none), found_items and found_longest (words).
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs with found_words, found_mask (a bit for each word, 1: hit; empty: none), found_items and found_longest (words of the
+    longest verbatim match with one item; 0 if it holds no window).
 
     Each block of the benchmark is one more pass over the texts within the same stage.
     """
@@ -173,7 +190,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, depth: int = WINDOW, block_by
     nothing = [F.lit(0).cast("long").alias("found_words"), F.lit(b"").alias("found_mask"), F.array().cast("array<string>").alias("found_items"), F.lit(0).cast("long").alias("found_longest")]
     out = docs.select("text", *nothing, *kept.columns)
     for items in blocks(benchmark, block_bytes):
-        out = out.mapInArrow(_searched(items, depth), out.schema)
+        out = out.mapInArrow(_searched(items, window), out.schema)
     return out.select("text", *FOUND, *kept.back)
 
 

@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_BYTE, chunks, mix, owner, per_text, prefix_hash, runs, span_hash, written
+from .common import LOWER, WORD_BYTE, chunks, mix, owner, per_text, prefix_hash, row_mark, runs, span_hash, written
 from .components import Classes, components
-from .simhash import GrayIndex, by_node, majority, one_of_each, row_mark
+from .simhash import GrayIndex, by_node, majority, one_of_each
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Bits of 128 in which candidates may differ: three deviations above the mean at the threshold.

@@ -33,10 +33,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_BYTE, Kept, chunks, column, fresh, owner, per_text, runs, table, written
+from .common import LOWER, WORD_BYTE, Kept, chunks, fresh, owner, per_text, row_mark, runs, table, written
 from .components import Classes, components
 
 SHINGLE, BITS, SEED = 4, 4, 42
@@ -227,7 +227,7 @@ def masks(bits: int = BITS) -> list[int]:
     return [x | y for x, y in combinations(block, 2)]
 
 
-def signed(x: int) -> Column:
+def signed(x: int):
     """A literal of 64 bits."""
     return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
 
@@ -286,11 +286,6 @@ def near_duplicates(docs: DataFrame, keep: list[str] | None = None, shingle: int
     return prints.join(classes_of(prints, bits), "fp")
 
 
-def row_mark(docs: DataFrame) -> Column:
-    """A hash of all columns of a row (but maps, which have none)."""
-    return F.xxhash64(*(column(c) for c, kind in docs.dtypes if "map<" not in kind))
-
-
 def one_of_each(docs: DataFrame, groups: DataFrame, by: str) -> DataFrame:
     """docs with one row of each group; groups has doc_id, mark (row_mark) and the group `by` of each row of docs."""
     best = groups.groupBy(by).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("best"))

@@ -32,6 +32,11 @@ def brute(text, bench):
             if tuple(w[i : i + k]) in windows:
                 hit.update(range(i, i + k))
                 found.add(str(ident))
+                for j in range(len(b) - k + 1):
+                    n = 0
+                    while i + n < len(w) and j + n < len(b) and w[i + n] == b[j + n]:
+                        n += 1
+                    best = max(best, n if n >= k else 0)
     return len(w), len(hit), sorted(found), best
 
 
@@ -42,11 +47,11 @@ def bits(mask):
 def test_matches_brute_force_whole_and_in_blocks(spark):
     bench = spark.createDataFrame(items(), "item_id long, text string")
     rows = documents()
-    want = sorted((r[0], *brute(r[1], items())[:3]) for r in rows)
+    want = sorted((r[0], *brute(r[1], items())) for r in rows)
     for size in (decontaminate.BLOCK_BYTES, 60):
         got = decontaminate.matches(frame(spark, clash=True), bench, block_bytes=size).collect()
-        assert sorted((r.doc_id, r.found_words, bits(r.found_mask), r.found_items) for r in got) == want
-        assert all((r.found_longest > 0) == bool(r.found_items) for r in got)
+        assert sorted((r.doc_id, r.found_words, bits(r.found_mask), r.found_items, r.found_longest) for r in got) == want
+    assert max(x[4] for x in want) > 12
 
 
 def test_clean_drops_only_hits_and_keeps_columns(spark):
@@ -64,8 +69,29 @@ def test_empty_tables(spark):
     assert decontaminate.clean(frame(spark), none).count() == len(documents())
 
 
-def test_longest_match_is_found(spark):
-    text = " ".join(f"w{i}" for i in range(40))
-    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
-    docs = spark.createDataFrame([(1, "a b " + " ".join(f"w{i}" for i in range(5, 30)) + " c")], "doc_id long, text string")
-    assert decontaminate.matches(docs, bench).first().found_longest == 25
+def test_longest_match_is_that_of_one_item(spark):
+    line = [f"w{i}" for i in range(60)]
+    text = " ".join(line[:40])
+    cases = [
+        ([(1, text)], "a b " + " ".join(line[5:30]) + " c", 25),
+        ([(1, " ".join(line[1:11])), (2, " ".join(line[2:12]))], " ".join(line[1:12]), 10),  # two items side by side
+        ([(1, text)], " ".join(line[3:12]) + " x " + " ".join(line[20:29]), 0),  # nine words are no window
+        ([(1, text), (2, " ".join(line))], " ".join([*line[:15], "x", *line[30:55]]), 25),
+        ([(1, f"{text} {text}")], f"{text} {text} {text}", 80),
+    ]
+    for items, doc, want in cases:
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        docs = spark.createDataFrame([(1, doc), (2, doc + " " + line[59]), (3, None)], "doc_id long, text string").coalesce(1)
+        assert sorted((r.doc_id, r.found_longest) for r in decontaminate.matches(docs, bench).collect()) == [(1, want), (2, want), (3, 0)]
+
+
+def test_suffix_array_is_sorted_by_all_words():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    texts = np.sort(rng.integers(0, 12, 600))
+    hashes = rng.integers(0, 3, 600).astype(np.uint64)
+    hashes[texts == 7] = hashes[texts == 5][: (texts == 7).sum()].tolist() + [9] * max(0, (texts == 7).sum() - (texts == 5).sum())
+    index = decontaminate.SuffixArray(hashes, texts, 700)
+    shown = [index.words[p : p + int(np.argmin(index.words[p:]))].tolist() for p in index.order]  # up to the text's end
+    assert len(shown) == 600 and shown == sorted(shown)
