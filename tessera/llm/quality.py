@@ -8,16 +8,18 @@ up.  Discounts, continuation counts and backoff weights are Spark aggregations o
 
 Model entries are (language, 64-bit n-gram key, log probability, log backoff).  Workers hold them as arrays sorted by
 key and look n-grams up by binary search.  That holds while the model has at most `model_rows` entries; a larger
-one is never collected: n-grams of each document are then joined with it in Spark (`score_by_join`), same results.
+one is never collected: n-grams of each document are then joined with it in Spark (`score_by_join`).  Counts, and the logarithms that
+are added up for a document, are whole numbers (65,536ths of a nat), so both ways, and any layout of the rows, give the same bits.
 
 A document's log perplexity is its negative log probability by letter or digit: by character, lines of symbols would look
 fluent, as all but the first of a run cost nothing.  A language's band is the median of its documents, less or more a
-multiple of their median absolute deviation, from a histogram of all of them.  A document outside its band, without a
-letter, or failing the base rules, isn't kept.
+multiple of their median absolute deviation, from a histogram of all of them; the median and deviation over all languages
+count as PRIOR documents more, so a language of a few documents has a band too, by the same formula.  A document outside its band,
+without a letter, or failing the base rules, isn't kept.
 
 Defined results: a null or empty text has no words, fails the base, and has null perplexity; a null language is a
-language of its own; repeated rows count and are judged like others; other columns are ignored and pass through
-`reject`; an empty table gives an empty result.
+language of its own; repeated rows count and are judged like others; very long texts are counted and scored whole; a
+perplexity at the edge of its band is inside; other columns are ignored and pass through `reject`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,16 +38,17 @@ ORDER = 4
 BITS = 12
 #: Entries up to which workers hold the whole model (24 bytes each).
 MODEL_ROWS = 6_000_000
-#: Robust deviations that the band spans to each side.
-BAND_LOW, BAND_HIGH = 8.0, 8.0
-#: The band is never narrower than this to a side, in nats a letter.
-LEAST_BAND = 0.32
-#: A language with fewer scored documents has too little for a band; its documents pass.
-LEAST_DOCS = 20
+#: Robust deviations that the band spans below and above the median.
+BAND_LOW, BAND_HIGH = 5.0, 6.0
+#: Documents that the pooled median and deviation count as, beside a language's own.
+PRIOR = 50
 STEP = 1000
+#: Steps of a nat in which the model's logarithms are kept, and that of a character of no model.
+SCALE = 1 << 16
+UNKNOWN, NONE = round(np.log(1 << BITS) * SCALE), -(1 << 31)
 SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
-SCORED = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, loglik double, n_letters long"
+SCORED = "lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, loglik long, n_letters long"
 
 
 def repeated(keys: np.ndarray, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +160,7 @@ def _length(key: Column) -> Column:
 
 
 def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(lang, key, logp, backoff): the modified Kneser-Ney model of counted n-grams, all orders.
+    """(lang, key, logp, backoff): the modified Kneser-Ney model of counted n-grams, all orders, logarithms as whole numbers of 1 / SCALE.
 
     The highest order has raw counts, as n-grams at a text's start have; each lower one counts the distinct characters that precede
     its n-grams.  Each order keeps its three discounts from its own counts of counts.  Probabilities are interpolated.
@@ -180,8 +183,10 @@ def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
         stats = stats.select("lang", *(bounded(i).alias(f"d{i}") for i in (1, 2, 3)))
         level = level.join(stats.withColumnRenamed("lang", "of"), F.col("lang").eqNullSafe(F.col("of"))).drop("of")
         d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        level = level.select("lang", "key", F.shiftright("key", BITS).alias("context"), (F.col("n") - d).alias("rest"), d.alias("d"), F.col("key").bitwiseAND(F.lit(mask(k - 1))).alias("shorter"), "n")
-        context = written(level.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed")), "contexts")
+        level = level.select("lang", "key", F.shiftright("key", BITS).alias("context"), (F.col("n") - d).alias("rest"), "d1", "d2", "d3", F.col("key").bitwiseAND(F.lit(mask(k - 1))).alias("shorter"), "n")
+        # sums of whole numbers, so that no order of rows changes a bit of the result
+        kinds = [F.sum(x.cast("long")) * F.min(f"d{i}") for i, x in enumerate((F.col("n") == 1, F.col("n") == 2, F.col("n") > 2), 1)]
+        context = written(level.groupBy("lang", "context").agg(F.sum("n").alias("total"), (kinds[0] + kinds[1] + kinds[2]).alias("freed")), "contexts")
         known = context.select(F.col("lang").alias("of"), F.col("context").alias("at"), "total", "freed")
         level = level.join(known, F.col("lang").eqNullSafe(F.col("of")) & (F.col("context") == F.col("at"))).drop("of", "at")
         if lower is None:
@@ -198,7 +203,8 @@ def model(counts: DataFrame, order: int = ORDER) -> DataFrame:
     for probabilities, backoff in parts:
         one = probabilities.select("lang", "key", F.log("p").alias("logp"), F.lit(None).cast("double").alias("backoff")).unionByName(backoff.select("lang", "key", F.lit(None).cast("double").alias("logp"), "backoff"))
         out = one if out is None else out.unionByName(one)
-    return out.groupBy("lang", "key").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
+    out = out.groupBy("lang", "key").agg(F.max("logp").alias("logp"), F.max("backoff").alias("backoff"))
+    return out.select("lang", "key", *(F.round(F.col(c) * SCALE).cast("long").alias(c) for c in ("logp", "backoff")))
 
 
 class Arrays:
@@ -206,20 +212,20 @@ class Arrays:
 
     def __init__(self, rows: pa.Table):
         lang, key = rows["lang"].to_pylist(), rows["key"].to_numpy().astype(np.uint64)
-        logp, backoff = rows["logp"].to_numpy().astype(np.float32), rows["backoff"].to_numpy().astype(np.float32)
+        logp, backoff = (rows[c].fill_null(v).to_numpy().astype(np.int32) for c, v in (("logp", NONE), ("backoff", 0)))
         ids = {x: i for i, x in enumerate(dict.fromkeys(lang))}
         which = np.array([ids[x] for x in lang], np.int32)
         self.by = {}
         for one, i in ids.items():
             mine = np.flatnonzero(which == i)
             mine = mine[np.argsort(key[mine])]
-            self.by[one] = key[mine], logp[mine], np.nan_to_num(backoff[mine], nan=0.0)
+            self.by[one] = key[mine], logp[mine], backoff[mine]
 
     def score(self, lang: str | None, keys: np.ndarray, order: int) -> np.ndarray:
-        """Log probability of the last character of each n-gram."""
-        out = np.zeros(len(keys))
+        """Log probability of the last character of each n-gram, in 1 / SCALE."""
+        out = np.zeros(len(keys), np.int64)
         if lang not in self.by:
-            return out - np.log(1 << BITS)
+            return out - UNKNOWN
         known, logp, backoff = self.by[lang]
         todo, key = np.arange(len(keys)), keys
         length = np.full(len(keys), order)
@@ -227,11 +233,11 @@ class Arrays:
             length[(key >> np.uint64(BITS * (k - 1))) == 0] = np.minimum(length[(key >> np.uint64(BITS * (k - 1))) == 0], k - 1)
         while len(todo):
             at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-            hit = (known[at] == key) & ~np.isnan(logp[at])
+            hit = (known[at] == key) & (logp[at] != NONE)
             out[todo[hit]] += logp[at[hit]]
             todo, key, length = todo[~hit], key[~hit], length[~hit]
             last = length <= 1
-            out[todo[last]] += (backoff[0] if known[0] == 0 else 0) - np.log(1 << BITS)  # an unknown character: the empty context, key 0
+            out[todo[last]] += int(backoff[0] if known[0] == 0 else 0) - UNKNOWN  # an unknown character: the empty context, key 0
             todo, key, length = todo[~last], key[~last], length[~last]
             context = key >> np.uint64(BITS)
             at = np.minimum(np.searchsorted(known, context), len(known) - 1)
@@ -248,7 +254,7 @@ def _scored(order: int, arrays):
             cols: list[list[np.ndarray]] = [[] for _ in range(7)]
             for i, j, buf, offsets in chunks(batch.column(0)):
                 cls, where = symbols_of(buf, offsets)
-                total, sizes = np.zeros(j - i), np.diff(where)
+                total, sizes = np.zeros(j - i, np.int64), np.diff(where)
                 if arrays is not None:
                     keys, each = grams(cls, where, order), np.repeat(np.arange(j - i), sizes)
                     own = [lang[i + x] for x in range(j - i)]
@@ -257,12 +263,13 @@ def _scored(order: int, arrays):
                     for one, k in ids.items():
                         mine = slice(None) if len(ids) == 1 else np.flatnonzero(which == k)
                         distinct, back = np.unique(keys[mine], return_inverse=True)
-                        total += np.bincount(each[mine], arrays.value.score(one, distinct, order)[back], j - i)
+                        # whole numbers below 2**53: exact as doubles
+                        total += np.bincount(each[mine], arrays.value.score(one, distinct, order)[back], j - i).astype(np.int64)
                 letters = np.r_[0, np.cumsum(ALNUM_BYTE[buf] & ((buf & 0xC0) != 0x80))]
                 for c, x in zip(cols, [*base_counts(buf, offsets), total, letters[offsets[1:]] - letters[offsets[:-1]]], strict=True):
                     c.append(x)
             got = [np.concatenate(c) if c else np.zeros(0) for c in cols]
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(1), *(pa.array(x.astype(np.int64)) for x in got[:5]), pa.array(got[5].astype(float)), pa.array(got[6].astype(np.int64))], [*batch.schema.names[2:], "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "loglik", "n_letters"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], batch.column(1), *(pa.array(x.astype(np.int64)) for x in got)], [*batch.schema.names[2:], "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "loglik", "n_letters"])
 
     return run
 
@@ -286,18 +293,18 @@ def _keyed(order: int):
 
 def score_by_join(docs: DataFrame, entries: DataFrame, order: int = ORDER) -> DataFrame:
     """(row, loglik) of docs (text, lang, row) by joins with the model: one join for each order, for a model of any size."""
-    todo = docs.select("text", "lang", "row").mapInArrow(_keyed(order), "row long, lang string, key long, n long").withColumns({"length": _length(F.col("key")), "sum": F.lit(0.0)})
-    empty = entries.where("key = 0 and backoff is not null").select(F.col("lang").alias("l0"), (F.col("backoff").cast("float").cast("double") - float(np.log(1 << BITS))).alias("unknown"))
+    todo = docs.select("text", "lang", "row").mapInArrow(_keyed(order), "row long, lang string, key long, n long").withColumns({"length": _length(F.col("key")), "sum": F.lit(0).cast("long")})
+    empty = entries.where("key = 0 and backoff is not null").select(F.col("lang").alias("l0"), (F.col("backoff") - UNKNOWN).alias("unknown"))
     todo = todo.join(empty, F.col("lang").eqNullSafe(F.col("l0")), "left").drop("l0")
     done = None
     for _ in range(order):
-        m = entries.where("logp is not null").select(F.col("lang").alias("l"), F.col("key").alias("k"), F.col("logp").cast("float").cast("double").alias("logp"))
-        b = entries.where("backoff is not null").select(F.col("lang").alias("l2"), F.col("key").alias("k2"), F.col("backoff").cast("float").cast("double").alias("backoff"))
+        m = entries.where("logp is not null").select(F.col("lang").alias("l"), F.col("key").alias("k"), "logp")
+        b = entries.where("backoff is not null").select(F.col("lang").alias("l2"), F.col("key").alias("k2"), "backoff")
         got = todo.join(m, F.col("lang").eqNullSafe(F.col("l")) & (F.col("key") == F.col("k")), "left")
         end = got.where("logp is not null or length <= 1").select("row", ((F.col("sum") + F.coalesce("logp", "unknown")) * F.col("n")).alias("x"))
         done = end if done is None else done.unionByName(end)
         rest = got.where("logp is null and length > 1").drop("l", "k", "logp").withColumn("context", F.shiftright("key", BITS))
-        todo = rest.join(b, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("context") == F.col("k2")), "left").select("row", "lang", F.col("key").bitwiseAND(F.expr(f"shiftleft(1L, {BITS} * (length - 1)) - 1")).alias("key"), "n", (F.col("length") - 1).alias("length"), (F.col("sum") + F.coalesce("backoff", F.lit(0.0))).alias("sum"), "unknown")
+        todo = rest.join(b, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("context") == F.col("k2")), "left").select("row", "lang", F.col("key").bitwiseAND(F.expr(f"shiftleft(1L, {BITS} * (length - 1)) - 1")).alias("key"), "n", (F.col("length") - 1).alias("length"), (F.col("sum") + F.coalesce("backoff", F.lit(0))).alias("sum"), "unknown")
     return done.groupBy("row").agg(F.sum("x").alias("loglik"))
 
 
@@ -313,24 +320,31 @@ def scores(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS) ->
     else:
         rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows").select("text", "lang", "row", "doc_id", "mark")
         out = rows.mapInArrow(_scored(order, None), f"row long, {held}, {SCORED}").drop("loglik").join(score_by_join(rows, entries, order), "row", "left").drop("row")
-    return out.withColumn("log_perplexity", F.when(F.col("n_letters") > 0, -F.col("loglik") / F.col("n_letters"))).drop("loglik")
+    return out.withColumn("log_perplexity", F.when(F.col("n_letters") > 0, -F.col("loglik") / (F.col("n_letters") * SCALE))).drop("loglik")
 
 
 def bands(scored: DataFrame, low: float = BAND_LOW, high: float = BAND_HIGH) -> DataFrame:
-    """(lang, low, high): the band of log perplexity of each language, from counts by thousandths over all documents."""
+    """(lang, low, high): the band of log perplexity of each language, from counts by thousandths over all documents.
 
+    Medians and deviations (from the own median) are those of the language's documents and, as PRIOR more, those of all.
+    """
     x = scored.where("log_perplexity is not null").select("lang", F.round(F.col("log_perplexity") * STEP).cast("long").alias("v"))
     hist = x.groupBy("lang", "v").agg(F.count(F.lit(1)).alias("c"))
-    every = Window.partitionBy("lang")
 
-    def middle(h: DataFrame, value: str) -> DataFrame:
-        cum = h.withColumns({"upto": F.sum("c").over(Window.partitionBy("lang").orderBy(value)), "all": F.sum("c").over(every)})
-        return cum.withColumn("m", F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col(value))).over(every))
+    def middle(h: DataFrame, value: str, *by: str) -> DataFrame:
+        """The median of value in each group, with the number of documents."""
+        counts = h.groupBy(*by, value).agg(F.sum("c").alias("c"))
+        cum = counts.withColumns({"upto": F.sum("c").over(Window.partitionBy(*by).orderBy(value)), "docs": F.sum("c").over(Window.partitionBy(*by))})
+        return cum.where(F.col("upto") * 2 >= F.col("docs")).groupBy(*by).agg(F.min(value).alias("m"), F.min("docs").alias("docs"))
 
-    one = middle(hist, "v").select("lang", F.col("m").alias("middle"), F.col("all").alias("docs"), F.abs(F.col("v") - F.col("m")).alias("away"), "c")
-    two = middle(one, "away").groupBy("lang").agg(F.min("middle").alias("middle"), F.min("docs").alias("docs"), F.min("m").alias("mad"))
-    half = lambda k: F.greatest(1.4826 * k * F.col("mad") / STEP, F.lit(LEAST_BAND))
-    return two.where(F.col("docs") >= LEAST_DOCS).select("lang", (F.col("middle") / STEP - half(low)).alias("low"), (F.col("middle") / STEP + half(high)).alias("high"))
+    own = written(middle(hist, "v", "lang").select(F.col("lang").alias("of"), "m", "docs"), "medians")
+    away = written(hist.join(own, F.col("lang").eqNullSafe(F.col("of"))).select("lang", F.abs(F.col("v") - F.col("m")).alias("away"), "c"), "away")
+    spread = middle(away, "away", "lang").select("lang", F.col("m").alias("mad"))
+    pooled = middle(hist, "v").select(F.col("m").alias("all_m")).crossJoin(middle(away, "away").select(F.col("m").alias("all_mad")))  # one row each
+    both = own.join(spread, F.col("of").eqNullSafe(F.col("lang"))).crossJoin(pooled)
+    shrunk = lambda x, y: (F.col(x) * F.col("docs") + F.col(y) * PRIOR) / ((F.col("docs") + PRIOR) * STEP)
+    half = lambda k: 1.4826 * k * shrunk("mad", "all_mad")
+    return both.select("lang", (shrunk("m", "all_m") - half(low)).alias("low"), (shrunk("m", "all_m") + half(high)).alias("high"))
 
 
 def judged(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS, low: float = BAND_LOW, high: float = BAND_HIGH) -> DataFrame:
@@ -339,7 +353,7 @@ def judged(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS, lo
     band = bands(scored, low, high).withColumnRenamed("lang", "band_lang")
     x = scored.join(band, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.col("low").isNull())
+    inside = F.coalesce(F.col("log_perplexity").between(F.col("low"), F.col("high")), F.lit(False))
     return x.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & inside)
 
 
