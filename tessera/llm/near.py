@@ -9,8 +9,10 @@ at most (`plan`).  So the search is by chance in this alone; recall against comp
 
 Equal sets are one member, named by a hash of the set.  Each task sends a spanning set of its candidate links, which
 are confirmed on the whole sets.  If all are, the confirmed classes are those of all candidates.  Else, among members that a failed link
-touches through candidates, the index is asked again across the confirmed classes: first for other spanning links, then for
-all pairs, so that no candidate that could join two classes is left out.
+touches through candidates, the index is asked again across the confirmed classes: for other spanning links, and at last for
+all pairs, so that no candidate that could join two classes is left out.  In these searches members also carry the parities
+of their shingles by hash in PARITY bits.  As many bits as differ, so many shingles at least are in one set only, and more are likely by
+a known law; so nearly all pairs of a group of near copies that are not similar enough are ruled out within the task.
 
 Defined results: words as in simhash.py; a text of fewer words than a shingle is one shingle; null and empty texts are
 equal; very long texts are read whole; which row stays of a group is as in simhash.py; an empty table gives an empty result;
@@ -39,7 +41,9 @@ MISS = 0.005
 #: Residues by which sets that are no candidate's are left out.
 ASKED = 1 << 24
 #: Searches for spanning links before all pairs across classes are checked.
-SEARCHES = 2
+SEARCHES = 3
+#: Bits of a set's parities, and how far (four deviations at most) more of them may differ than is likely at the threshold.
+PARITY, SLACK = 1024, 64
 
 
 def plan(members: int) -> tuple[int, int]:
@@ -86,17 +90,42 @@ def described(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return key, of, mix(sums[end] - sums[end - size] + size.astype(np.uint64)), size
 
 
+def parities(key: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
+    """(n, PARITY / 64): a bit for each residue of the hashes, set if an odd number of a text's shingles has it."""
+    cell, times = np.unique(of * PARITY + (key >> np.uint64(40)).astype(np.int64) % PARITY, return_counts=True)
+    flat = np.zeros(n * PARITY, np.uint8)
+    flat[cell[times % 2 == 1]] = 1
+    return np.packbits(flat.reshape(n, PARITY), axis=1, bitorder="little").view("<u8")
+
+
+def similar(size: np.ndarray, bits: np.ndarray):
+    """Which pairs of members sizes and parities allow to be similar enough."""
+
+    def allowed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        n, m = size[x], size[y]
+        ok = near(np.minimum(n, m), n, m)
+        at = np.flatnonzero(ok)
+        apart = np.zeros(len(at), np.int64)
+        for k in range(PARITY // 64):
+            apart += np.bitwise_count(bits[x[at], k] ^ bits[y[at], k])
+        most = (n[at] + m[at]) / 9  # shingles of one set only
+        ok[at] = apart <= np.minimum(most, PARITY / 2 * (1 - np.exp(-2 * most / PARITY)) + SLACK)
+        return ok
+
+    return allowed
+
+
 def long(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.int64))
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, mark) with the set's hash, its size and the fingerprint's two words."""
+    """(doc_id, mark) with the set's hash, its size, the fingerprint's two words and the set's parities."""
     for batch in batches:
         for i, j, buf, offsets in chunks(batch.column(0)):
             key, of, sig, size = described(buf, offsets)
             low, high = majority(key, of, j - i), majority(mix(key + np.uint64(1)), of, j - i)
-            yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), long(sig), long(size), long(low), long(high)], [*batch.schema.names[1:], "sig", "size", "f0", "f1"])
+            yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[1:]), long(sig), long(size), long(low), long(high), pa.array([b.tobytes() for b in parities(key, of, j - i)], pa.binary())], [*batch.schema.names[1:], "sig", "size", "f0", "f1", "bits"])
 
 
 def near(shared: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -123,23 +152,21 @@ def _candidates(whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, sig, f0, f1, *rest in by_node(batches):
             member, row, which = np.unique(sig, return_index=True, return_inverse=True)
-            classes = Classes(len(member))
-            if rest:  # (size, root): some are one class already
-                size = rest[0][row]
-                _, least, of = np.unique(rest[1][row], return_index=True, return_inverse=True)
+            classes, allowed = Classes(len(member)), None
+            if rest:  # (size, bits, root): some are one class already
+                size, bits, root = (x[row] for x in rest)
+                allowed = similar(size, np.frombuffer(b"".join(bits), "<u8").reshape(-1, PARITY // 64))
+                _, least, of = np.unique(root, return_index=True, return_inverse=True)
                 classes.join(np.arange(len(member)), least[of])
-            x, y = GrayIndex(node, np.stack([f0, f1], axis=1).astype(np.uint64)).pairs(DISTANCE, classes, which, whole)
-            if whole:  # sizes alone may rule a pair out
-                ok = near(np.minimum(size[x], size[y]), size[x], size[y])
-                x, y = x[ok], y[ok]
+            x, y = GrayIndex(node, np.stack([f0, f1], axis=1).astype(np.uint64)).pairs(DISTANCE, classes, which, whole, allowed)
             yield pa.RecordBatch.from_arrays([long(member[x]), long(member[y])], ["a", "b"])
 
     return run
 
 
 def candidates(members: DataFrame, top: list[tuple[int, int]], whole: bool) -> DataFrame:
-    """Candidate pairs (a, b) of members (sig, f0, f1, and size and root where some are one class), written."""
-    under = members.mapInArrow(_under(top), "node long, " + ", ".join(f"{c} long" for c in members.columns))
+    """Candidate pairs (a, b) of members (sig, f0, f1, and size, bits and root where some are one class), written."""
+    under = members.mapInArrow(_under(top), "node long, " + ", ".join(f"{c} {kind}" for c, kind in members.dtypes))
     found = under.repartition("node").sortWithinPartitions("node").mapInArrow(_candidates(whole), "a long, b long")
     return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
@@ -187,7 +214,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def classes(signed_docs: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of the members that are linked with others."""
-    members = written(signed_docs.where("size > 0").dropDuplicates(["sig"]).select("sig", "f0", "f1", "size"), "members")
+    members = written(signed_docs.where("size > 0").dropDuplicates(["sig"]).select("sig", "f0", "f1", "size", "bits"), "members")
     top = masks(*plan(members.count()))
     live, links, whole_sets = members.select("sig", "f0", "f1"), None, None
     for search in range(SEARCHES + 1):
@@ -211,7 +238,7 @@ def classes(signed_docs: DataFrame, docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """One row of each class of near copies."""
     rows = docs.select("text", "doc_id", row_mark(docs).alias("mark"))
-    found = written(rows.mapInArrow(_signed, f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, sig long, size long, f0 long, f1 long"), "signed")
+    found = written(rows.mapInArrow(_signed, f"doc_id {dict(docs.dtypes)['doc_id']}, mark long, sig long, size long, f0 long, f1 long, bits binary"), "signed")
     roots = classes(found, rows)
     named = found.select("doc_id", "mark", "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left")
     return one_of_each(docs, named.select("doc_id", "mark", F.coalesce("root", "sig").alias("root")), "root")

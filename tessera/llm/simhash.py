@@ -161,21 +161,32 @@ class GrayIndex:
             pattern, children = both & mask, np.diff(np.r_[head, len(up)])
             child, first, end, node = up[head], first[up][head], end[up][head + children - 1], node[up][head]
 
-    def pairs(self, bits: int, classes: Classes, member: np.ndarray, whole: bool = False, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
-        """Members of different classes within `bits` of each other: a spanning set of links, which joins the classes, or all (whole)."""
+    def pairs(self, bits: int, classes: Classes, member: np.ndarray, whole: bool = False, allowed=None, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+        """Members of different classes within `bits` of each other: a spanning set of links, which joins the classes, or all (whole).
+
+        allowed(x, y) may rule out some of the pairs of members.
+        """
         own = member[self.order]
         out: list[tuple[np.ndarray, np.ndarray]] = []
 
         def found(x: np.ndarray, y: np.ndarray) -> None:
             x, y = own[x], own[y]
-            at = np.flatnonzero(classes.of[x] != classes.of[y]) if whole else classes.span(x, y)
-            out.append((x[at], y[at]))
+            if whole or allowed is not None:
+                at = np.flatnonzero(classes.of[x] != classes.of[y])
+                x, y = x[at], y[at]
+            if allowed is not None and len(x):
+                at = np.flatnonzero(allowed(x, y))
+                x, y = x[at], y[at]
+            if not whole:
+                at = classes.span(x, y)
+                x, y = x[at], y[at]
+            out.append((x, y))
 
         stack = [(level, r, r, np.zeros(len(r), np.int64)) for level, r in enumerate(self.roots) if level and len(r)]
         while stack:
             level, a, b, apart = stack.pop()
             mask, _, first, end, child, children = self.levels[level]
-            if not whole:
+            if not whole and allowed is None:
                 tight = a[(a == b) & (self.width - bits_of(mask[a]) <= bits)]
                 size = end[tight] - first[tight]
                 if len(tight):
