@@ -77,7 +77,7 @@ VALUE: dict[str, Callable[..., Column]] = {
     "asBool": _bool,
     "asDate": _date,
     "dateAdd": lambda c, k, unit, n: c + F.make_dt_interval(**{{"day": "days", "hour": "hours", "minute": "mins", "second": "secs"}[unit.name]: F.lit(n)}),
-    "dateDiff": lambda c, k, other: (F.unix_millis(c) - F.unix_millis(F.lit(other).cast("timestamp"))),
+    "dateDiff": lambda c, k, other: (F.unix_millis(c.cast("timestamp")) - F.unix_millis(F.lit(other).cast("timestamp"))),
     "reverse": lambda c, k: F.reverse(c),
 }
 

@@ -95,6 +95,16 @@ def strong_components(g: Graph, **which) -> DataFrame:
     e = settled(edges(g, **which).where("src <> dst").select("src", "dst").distinct())
     done: list[DataFrame] = []
     while not left.isEmpty():
+        while True:  # what nothing enters, or nothing leaves, is alone
+            both = e.select(F.col("src").alias("id")).intersect(e.select(F.col("dst").alias("id")))
+            alone = settled(left.join(both, "id", "left_anti"))
+            if alone.isEmpty():
+                break
+            done.append(alone.withColumn("c", F.col("id")))
+            left = settled(left.join(both, "id", "left_semi"))
+            e = settled(e.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
+        if left.isEmpty():
+            break
         colour = settled(left.select("id", F.col("id").alias("c")))
         while True:
             got = colour.join(e, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("c").alias("m"))
@@ -112,7 +122,7 @@ def strong_components(g: Graph, **which) -> DataFrame:
             found = settled(found.unionByName(front))
         done.append(found)
         left = settled(left.join(found, "id", "left_anti"))
-        e = settled(e.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi"))
+        e = settled(e.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
     if not done:
         return ids(g).withColumn("value", F.lit(""))
     named = united(done).join(name(g), "id")

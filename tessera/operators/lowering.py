@@ -52,6 +52,7 @@ class Lowering:
         self.ring = next((s.bys for s in whole.walk() if s.name in ("path", "tree")), [])
         self.side: dict[str, Stream] = {}
         self.depth = 0
+        self.rebound: set[str] = set()
         self.sack: Any = None
         self.seeds: dict[str, Any] = {}
 
@@ -83,7 +84,7 @@ class Lowering:
             parts = [self._shown(s, b) for b in by]
             shown = parts[0] if len(parts) == 1 else F.element_at(F.array(*parts), (F.pmod(n, F.lit(len(parts))) + 1).cast("int"))
         key = F.concat(F.lit(s.kind[0]), (F.col("id") if s.kind != "value" else F.col("v")).cast("string"))
-        one = F.array(F.struct(key.alias("key"), shown.alias("shown")))
+        one = F.array(F.struct(key.alias("key"), shown.alias("shown"), F.array().cast("array<string>").alias("labels")))
         return s.to(s.df.withColumn("_path", F.concat("_path", one) if "_path" in s.df.columns else one))
 
     def _shown(self, s: Stream, by: list[Any]) -> Column:
@@ -518,10 +519,14 @@ class Lowering:
         return s.where(self.has_column(s, step))
 
     def step_hasKey(self, s: Stream, step: Step) -> Stream:
+        if s.kind != "property":
+            raise UnsupportedTraversal(f"hasKey() on {s.kind}")
         p = step.args[0] if isinstance(step.args[0], P) else P("within", tuple(step.args))
         return s.where(test(F.col("key"), p, "string"))
 
     def step_hasValue(self, s: Stream, step: Step) -> Stream:
+        if s.kind != "property":
+            raise UnsupportedTraversal(f"hasValue() on {s.kind}")
         p = step.args[0] if isinstance(step.args[0], P) else P("within", tuple(step.args))
         return s.where(test(F.col("v"), p, s.vtype))
 
@@ -682,12 +687,25 @@ class Lowering:
         df = s.df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", *(c for c in s.df.columns if c.startswith("_d") and c[2:].isdigit()))
         return s.to(df)
 
+    def _section(self, step: Step) -> Column:
+        """The path from the last place with the label of from() to that of to(); from its start and to its end without them."""
+        path = F.col("_path")
+        at_label = lambda name: F.array_max(F.transform(path, lambda e, i: F.when(F.array_contains(e["labels"], name), i + 1)))
+        sides = {side: step.extra[side] for side in ("from", "to") if side in step.extra}
+        if not sides:
+            return path
+        if any(not isinstance(x, str) for x in sides.values()) or len(step.bys) > 1:
+            raise UnsupportedTraversal(f"{step.name}() with from() or to() that are no labels, or with several by()")
+        start = F.coalesce(at_label(sides["from"]), F.lit(1)) if "from" in sides else F.lit(1)
+        end = F.coalesce(at_label(sides["to"]), F.size(path)) if "to" in sides else F.size(path)
+        return F.slice(path, start, F.greatest(end - start + 1, F.lit(0)))
+
     def step_simplePath(self, s: Stream, step: Step) -> Stream:
-        keys = F.col("_path.key")
+        keys = self._section(step).getField("key")
         return s.where(F.size(F.array_distinct(keys)) == F.size(keys))
 
     def step_cyclicPath(self, s: Stream, step: Step) -> Stream:
-        keys = F.col("_path.key")
+        keys = self._section(step).getField("key")
         return s.where(F.size(F.array_distinct(keys)) < F.size(keys))
 
     # -- reads --------------------------------------------------------------------------------------------------------------------
@@ -747,18 +765,35 @@ class Lowering:
         return s.to(s.df.select(*s.channels(), *cols), "record", names=tuple(names))
 
     def step_properties(self, s: Stream, step: Step) -> Stream:
+        if s.kind not in ("vertex", "edge"):
+            raise UnsupportedTraversal(f"properties() of {s.kind}")
         s = self.attach(s).single()
         parts = []
-        for n in self._properties(s, step):
+        # values keep their type if all have the same; numbers of several become doubles, others text
+        names = [n for n in self._properties(s, step) if at(n) in s.df.columns]
+        kinds = {n: (lambda c, many: F.transform(c, lambda x: x["value"]) if many else F.array(c))(*self.values_of(s, n)) for n in names}
+        types = {dict(s.df.select(c.alias("c")).dtypes)["c"][6:-1] for c in kinds.values()}
+        numbers = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+        to = types.pop() if len(types) == 1 else "double" if types and types <= numbers else "string"
+        for n in names:
             c, many = self.values_of(s, n)
-            cells = F.transform(c, lambda x: F.struct(x["value"].cast("string").alias("v"))) if many else F.when(c.isNotNull(), F.array(F.struct(c.cast("string").alias("v"))))
+            cells = F.transform(c, lambda x: F.struct(x["value"].cast(to).alias("v"))) if many else F.when(c.isNotNull(), F.array(F.struct(c.cast(to).alias("v"))))
             one = s.df.select(*s.channels(), F.col("id").alias("owner"), F.lit(n).alias("key"), F.posexplode(cells).alias("_p", "_x"))
             parts.append(one.select(*s.channels(), "owner", F.concat_ws("/", "owner", "key", "_p").alias("pid"), "key", F.col("_x.v").alias("v")))
         if not parts:
             parts = [s.df.where(F.lit(False)).select(*s.channels(), F.col("id").alias("owner"), F.lit("").alias("pid"), F.lit("").alias("key"), F.lit("").alias("v"))]
         return s.to(united(parts), "property", of=s.kind, tables=s.tables)
 
-    step_propertyMap = step_valueMap
+    def step_propertyMap(self, s: Stream, step: Step) -> Stream:
+        """For each key the list of its properties, as (key, value)."""
+        s = self.attach(s).single()
+        cols, names = [], [n for n in self._properties(s, step) if at(n) in s.df.columns]
+        for n in names:
+            c, many = self.values_of(s, n)
+            cell = lambda v, n=n: F.struct(F.lit(n).alias("key"), v.alias("value"))
+            one = F.when(F.size(c) > 0, F.transform(c, lambda x: cell(x["value"]))) if many else F.when(c.isNotNull(), F.array(cell(c)))  # noqa: B023
+            cols.append(one.alias(f"f${n}"))
+        return s.to(s.df.select(*s.channels(), *cols), "record", names=tuple(names))
 
     def step_key(self, s: Stream, step: Step) -> Stream:
         return s.value(F.col("key" if s.kind == "property" else "k"))
@@ -785,7 +820,13 @@ class Lowering:
     # -- labels ---------------------------------------------------------------------------------------------------------------------
 
     def step_as(self, s: Stream, step: Step) -> Stream:
+        if "_path" in s.df.columns:
+            last = F.element_at("_path", -1)
+            named = F.struct(last["key"].alias("key"), last["shown"].alias("shown"), F.concat(last["labels"], F.array(*(F.lit(n) for n in step.args))).alias("labels"))
+            s = s.to(s.df.withColumn("_path", F.concat(F.slice("_path", F.lit(1), F.size("_path") - 1), F.array(named))))
         for name in step.args:
+            if name in s.aliases:
+                self.rebound.add(name)
             if s.kind == "edge":
                 c, kind = F.struct("id", "src", "dst", "label"), "edge"
             elif s.kind == "vertex":
@@ -821,6 +862,8 @@ class Lowering:
             raise UnsupportedTraversal(f"select({args[0]}) on {s.kind}")
         if len(args) == 1 and isinstance(args[0], Traversal):
             raise UnsupportedTraversal("select(traversal)")
+        if pop != "last" and self.rebound.intersection(a for a in args if isinstance(a, str)):
+            raise UnsupportedTraversal(f"select(Pop.{pop}) of a label that is bound more than once")
         if len(args) == 1:
             n = args[0]
             if s.kind == "record" and n in s.names and not (s.of == "bound" and n in s.aliases):
@@ -1345,7 +1388,7 @@ class Lowering:
     # -- paths, side effects, sack -----------------------------------------------------------------------------------------------------------------
 
     def step_path(self, s: Stream, step: Step) -> Stream:
-        return s.value(F.col("_path.shown"), "list")
+        return s.value(self._section(step).getField("shown"), "list")
 
     def step_tree(self, s: Stream, step: Step) -> Stream:
         """The tree as its edges: each parent path and child, once."""

@@ -12,6 +12,8 @@ from ..operators import algorithms as A
 from ..operators.run import run
 from ..sources import csv, graphson, tables
 from ..sources.tables import LABELS, STEP
+from .catalog_graphs import GRAPHS
+from .catalog_steps import STEPS
 
 I = {n: (i + 1) * STEP for i, n in enumerate(LABELS)}  # noqa: E741
 
@@ -89,6 +91,9 @@ TEXTS: dict[str, tuple[str, list[str], str]] = {
 }
 
 
+TEXTS |= STEPS
+
+
 def _text(name: str) -> Callable[[SparkSession, str], DataFrame]:
     text, names, _ = TEXTS[name]
 
@@ -99,7 +104,7 @@ def _text(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def places(spark: SparkSession, folder: str) -> Graph:
-    """Suppliers, nations and regions with their edges: a small graph for algorithms that are quadratic by definition."""
+    """Suppliers, nations and regions with their edges: a smaller graph for distances between all pairs, which are quadratic by definition."""
     g = tables.graph(spark, folder)
     keep = {"region", "nation", "supplier"}
     near = g.edges["in_nation"].where(F.col("src") >= I["supplier"]).where(F.col("src") < I["part"])
@@ -113,8 +118,8 @@ def _graph_ql(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("n_name").alias("name"), F.explode("out_in_region.r_name").alias("region"))
 
 
-def _degree(spark: SparkSession, folder: str) -> DataFrame:
-    return A.degree(tables.graph(spark, folder), "IN", ["contains"]).where("value > 0")
+def _paths(spark: SparkSession, folder: str) -> DataFrame:
+    return A.shortest_paths(places(spark, folder)).select("s", "id", "distance", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
 
 
 def _round(df: DataFrame) -> DataFrame:
@@ -128,7 +133,7 @@ def _round_trip(form, suffix: str) -> Callable[[SparkSession, str], DataFrame]:
         from ..graph import shared_dir
 
         path = f"{shared_dir(spark)}/io-{uuid.uuid4().hex}{suffix}"
-        form.write(places(spark, folder), path)
+        form.write(tables.graph(spark, folder), path)
         return run(form.read(spark, path), "g.V().hasLabel('supplier').as('s').out('in_nation').as('n').select('s', 'n').by('s_name').by('n_name')").df.toDF("s", "n")
 
     return query
@@ -141,31 +146,19 @@ _ALL = f"SELECT {_S} AS id FROM supplier UNION ALL SELECT {_N} FROM nation UNION
 
 #: name -> (function, SQL or None)
 MORE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
-    "algo_degree": (_degree, f"SELECT CAST({I['part']} AS BIGINT) + l_partkey AS id, count(*) AS value FROM lineitem GROUP BY 1"),
-    "algo_wcc": (lambda s, d: A.components(places(s, d)), f"SELECT id, min(CAST(id AS VARCHAR)) OVER (PARTITION BY r) AS value FROM (SELECT {_S} AS id, n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey UNION ALL SELECT {_N}, n_regionkey FROM nation UNION ALL SELECT {_R}, r_regionkey FROM region)"),
-    "algo_scc": (lambda s, d: A.strong_components(places(s, d)), f"SELECT id, CAST(id AS VARCHAR) AS value FROM ({_ALL})"),
     "algo_closeness": (lambda s, d: _round(A.closeness(places(s, d))), f"SELECT a.id, round(coalesce(c / d, 0), 6) AS value FROM ({_ALL}) a LEFT JOIN ({_REACH}) r ON a.id = r.id"),
     "algo_betweenness": (lambda s, d: _round(A.betweenness(places(s, d))), f"SELECT a.id, round(coalesce(CAST(c AS DOUBLE), 0), 6) AS value FROM ({_ALL}) a LEFT JOIN (SELECT {_N} AS id, count(*) AS c FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) b ON a.id = b.id"),
-    "algo_triangles": (lambda s, d: A.triangles(places(s, d)), f"SELECT id, CAST(0 AS BIGINT) AS value FROM ({_ALL})"),
-    "algo_kcore": (lambda s, d: A.k_core(places(s, d)), f"SELECT id, CAST(1 AS BIGINT) AS value FROM ({_ALL})"),
-    "algo_similarity": (lambda s, d: A.node_similarity(places(s, d), ["in_region"]), f"SELECT {_N.replace('n_nationkey', 'a.n_nationkey')} AS node1, {_N.replace('n_nationkey', 'b.n_nationkey')} AS node2, CAST(1 AS DOUBLE) AS similarity FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey"),
-    "algo_shortest_paths": (lambda s, d: A.shortest_paths(places(s, d)).where(F.size("path") == 3).select("s", "id", "distance"), f"SELECT {_S} AS s, CAST({I['region']} AS BIGINT) + n_regionkey AS id, CAST(2 AS DOUBLE) AS distance FROM supplier JOIN nation ON n_nationkey = s_nationkey"),
-    "algo_page_rank": (lambda s, d: _round(A.page_rank(places(s, d), rounds=3, epsilon=0.0)), None),
-    "algo_article_rank": (lambda s, d: _round(A.article_rank(places(s, d))), None),
-    "algo_peer_pressure": (lambda s, d: A.peer_pressure(places(s, d)), None),
-    "algo_hits": (lambda s, d: A.hits(places(s, d)).select("id", F.round("hub", 6).alias("hub"), F.round("authority", 6).alias("authority")), None),
-    "algo_harmonic": (lambda s, d: _round(A.harmonic(places(s, d))), None),
-    "algo_clustering": (lambda s, d: _round(A.clustering(places(s, d))), f"SELECT id, CAST(0 AS DOUBLE) AS value FROM ({_ALL})"),
-    "service_search": (lambda s, d: A.search(places(s, d), "asia").select("key", "v"), "SELECT 'r_name' AS key, r_name AS v FROM region WHERE contains(lower(r_name), 'asia') UNION ALL SELECT 'n_name', n_name FROM nation WHERE contains(lower(n_name), 'asia') UNION ALL SELECT 's_name', s_name FROM supplier WHERE contains(lower(s_name), 'asia')"),
-    "service_schema": (lambda s, d: A.schema(places(s, d)).where("kind like '%Label'").select("kind", "label", "count"), "SELECT 'vertexLabel' AS kind, 'region' AS label, count(*) AS count FROM region UNION ALL SELECT 'vertexLabel', 'nation', count(*) FROM nation UNION ALL SELECT 'vertexLabel', 'supplier', count(*) FROM supplier UNION ALL SELECT 'edgeLabel', 'in_region', count(*) FROM nation UNION ALL SELECT 'edgeLabel', 'in_nation', count(*) FROM supplier"),
+    "algo_shortest_paths": (_paths, f"WITH x AS ({_ALL}), y AS (SELECT {_S} AS s, {_N} AS n, CAST({I['region']} AS BIGINT) + n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey) SELECT id AS s, id, CAST(0 AS DOUBLE) AS distance, CAST(id AS VARCHAR) AS path FROM x UNION ALL SELECT s, n, 1, s || '>' || n FROM y UNION ALL SELECT s, r, 2, s || '>' || n || '>' || r FROM y UNION ALL SELECT {_N}, CAST({I['region']} AS BIGINT) + n_regionkey, 1, {_N} || '>' || (CAST({I['region']} AS BIGINT) + n_regionkey) FROM nation"),
+    "algo_harmonic": (lambda s, d: _round(A.harmonic(places(s, d))), f"SELECT a.id, round(coalesce(h, 0) / (SELECT count(*) - 1 FROM ({_ALL})), 6) AS value FROM ({_ALL}) a LEFT JOIN (SELECT {_N} AS id, CAST(count(*) AS DOUBLE) AS h FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1 UNION ALL SELECT CAST({I['region']} AS BIGINT) + n_regionkey, count(DISTINCT n_nationkey) + count(s_suppkey) / 2.0 FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1) b ON a.id = b.id"),
     "io_graphson": (_round_trip(graphson, ".json"), _PAIRS),
     "io_csv": (_round_trip(csv, ".csv"), _PAIRS),
-    "write_add_drop": (lambda s, d: run(run(run(places(s, d), "g.addV('region').property('r_name', 'NEW')").graph, "g.V().has('r_name', 'ASIA').drop()").graph, "g.V().hasLabel('region').values('r_name')").df.toDF("name"), "SELECT r_name AS name FROM region WHERE r_name <> 'ASIA' UNION ALL SELECT 'NEW'"),
-    "strategy_subgraph": (lambda s, d: run(places(s, d), "g.withStrategies(new SubgraphStrategy(vertices: has('n_regionkey', 1))).V().values('n_name')").df.toDF("name"), "SELECT n_name AS name FROM nation WHERE n_regionkey = 1"),
     "graph_ql": (_graph_ql, TEXTS["graph_ql"][2]),
 }
 
 
+MORE |= GRAPHS
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: _text(n) for n, (t, _, _) in TEXTS.items() if t} | {n: f for n, (f, _) in MORE.items()}
 

@@ -1,6 +1,7 @@
 """Algorithms, services, writes, files, GQL and GraphQL."""
 
 import json
+import random
 
 import pytest
 
@@ -18,10 +19,6 @@ def values(df):
     return {r[0]: r[1] for r in df.collect()}
 
 
-def both(pairs):
-    return pairs + [(b, a) for a, b in pairs]
-
-
 @pytest.fixture(scope="module")
 def g(spark):
     return modern(spark)
@@ -33,32 +30,77 @@ def test_page_rank_of_the_modern_graph(g):
     assert g.traverse("g.V().pageRank().order().by('gremlin.pageRankVertexProgram.pageRank', desc).limit(2).values('name')").rows() == ["lop", "ripple"]
 
 
-def test_components(spark):
-    assert values(A.components(shape(spark, [(1, 2), (3, 2), (10, 11), (11, 9)], [50]))) == {1: "1", 2: "1", 3: "1", 9: "10", 10: "10", 11: "10", 50: "50"}
-    chain = shape(spark, [(i, i + 1) for i in range(40)])
-    assert set(values(A.components(chain)).values()) == {"0"}
-    assert values(A.strong_components(shape(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4)], [6]))) == {1: "1", 2: "1", 3: "1", 4: "4", 5: "4", 6: "6"}
-
-
-def test_centralities(spark):
-    path = shape(spark, both([(1, 2), (2, 3), (3, 4), (4, 5)]))
-    assert [round(v, 3) for _, v in sorted(values(A.closeness(path)).items())] == [0.4, 0.571, 0.667, 0.571, 0.4]
-    clique = shape(spark, both([(a, b) for a in range(5) for b in range(a)]))
-    assert set(values(A.betweenness(clique)).values()) == {0.0}
-    assert values(A.betweenness(shape(spark, [(1, 2), (2, 3), (3, 4)]))) == {1: 0.0, 2: 2.0, 3: 2.0, 4: 0.0}
-    assert values(A.betweenness(shape(spark, [(1, 2), (1, 3), (2, 4), (3, 4)]))) == {1: 0.0, 2: 0.5, 3: 0.5, 4: 0.0}
-    assert values(A.harmonic(shape(spark, [(1, 2), (2, 3)]))) == {1: 0.0, 2: 0.5, 3: 0.75}
-    assert values(A.degree(shape(spark, [(1, 2), (3, 2), (2, 1)]))) == {1: 1, 2: 2, 3: 0}
-
-
-def test_triangles_cores_and_similarity(spark):
-    clique = [(a, b) for a in range(1, 6) for b in range(a + 1, 6)]
-    assert set(values(A.triangles(shape(spark, clique))).values()) == {6}
-    assert set(values(A.clustering(shape(spark, clique))).values()) == {1.0}
-    assert values(A.triangles(shape(spark, both([(1, 2), (2, 3), (3, 1), (3, 3), (3, 4)])))) == {1: 1, 2: 1, 3: 1, 4: 0}
-    assert values(A.k_core(shape(spark, [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4), (4, 5)]))) == {1: 3, 2: 3, 3: 3, 4: 3, 5: 1}
-    got = {(r.node1, r.node2): r.similarity for r in A.node_similarity(shape(spark, [(1, 8), (1, 9), (2, 8), (3, 7)])).collect()}
-    assert got == {(1, 2): 0.5, (2, 1): 0.5}
+class Plain:
+    """A random directed graph, and its measures by the book."""
+
+    def __init__(self, seed, n, m):
+        rng = random.Random(seed)
+        self.nodes = list(range(n))
+        self.pairs = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(m)})
+        self.out = {v: {b for a, b in self.pairs if a == v and b != v} for v in self.nodes}
+        self.near = {v: {x for p in self.pairs if v in p for x in p if x != v} for v in self.nodes}
+
+    def dist(self, s, out=None):
+        """Distances and numbers of shortest paths from s."""
+        out, d, ways, front = out or self.out, {s: 0}, {s: 1}, [s]
+        while front:
+            new = {}
+            for v in front:
+                for w in out[v]:
+                    if w not in d:
+                        new[w] = new.get(w, 0) + ways[v]
+            for w, k in new.items():
+                d[w], ways[w] = d[front[0]] + 1, k
+            front = list(new)
+        return d, ways
+
+    def least(self, classes):
+        return {v: min(map(str, c)) for v in self.nodes for c in [classes[v]]}
+
+    def core(self):
+        out, left, k = {}, {v: set(x) for v, x in self.near.items()}, 0
+        while left:
+            low = [v for v in left if len(left[v]) <= k]
+            if not low:
+                k += 1
+            for v in low:
+                out[v] = k
+                for w in left.pop(v):
+                    left.get(w, set()).discard(v)
+        return out
+
+
+@pytest.mark.parametrize("seed,n,m", [(1, 14, 22), (2, 24, 60)])
+def test_measures_match_plain_python(spark, seed, n, m):
+    p = Plain(seed, n, m)
+    g = shape(spark, p.pairs, p.nodes)
+    every = {v: p.dist(v) for v in p.nodes}
+    reach = {v: set(every[v][0]) for v in p.nodes}
+    assert values(A.components(g)) == p.least({v: set(p.dist(v, p.near)[0]) for v in p.nodes})
+    assert values(A.strong_components(g)) == p.least({v: {w for w in reach[v] if v in reach[w]} for v in p.nodes})
+    to = {v: [d[v] for s, (d, _) in every.items() if s != v and v in d] for v in p.nodes}
+    assert values(A.closeness(g)) == pytest.approx({v: len(x) / sum(x) if x else 0 for v, x in to.items()})
+    assert values(A.harmonic(g)) == pytest.approx({v: sum(1 / d for d in x) / (n - 1) for v, x in to.items()})
+    between = dict.fromkeys(p.nodes, 0.0)
+    for s in p.nodes:
+        d, ways = every[s]
+        for t in d:
+            for v in d:
+                if v not in (s, t) and t in every[v][0] and d[v] + every[v][0][t] == d[t]:
+                    between[v] += ways[v] * every[v][1][t] / ways[t]
+    assert values(A.betweenness(g)) == pytest.approx(between)
+    closed = {v: sum(b in p.near[a] for a in p.near[v] for b in p.near[v] if a < b) for v in p.nodes}
+    assert values(A.triangles(g)) == closed
+    assert values(A.clustering(g)) == pytest.approx({v: 2 * closed[v] / (k * (k - 1)) if (k := len(p.near[v])) > 1 else 0 for v in p.nodes})
+    assert values(A.k_core(g)) == p.core()
+    full = {v: {b for a, b in p.pairs if a == v} for v in p.nodes}
+    want = {(x, y): len(full[x] & full[y]) / len(full[x] | full[y]) for x in p.nodes for y in p.nodes if x != y and full[x] & full[y]}
+    assert {(r.node1, r.node2): r.similarity for r in A.node_similarity(g).collect()} == pytest.approx(want)
+    assert values(A.degree(g)) == {v: sum(b == v for _, b in p.pairs) for v in p.nodes}
+
+
+def test_components_of_a_long_chain(spark):
+    assert set(values(A.components(shape(spark, [(i, i + 1) for i in range(40)]))).values()) == {"0"}
 
 
 def test_paths(spark):

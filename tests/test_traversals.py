@@ -163,6 +163,32 @@ def test_parameters_and_refusals(g):
         g.traverse("g.withStrategies(ReadOnlyStrategy).addV('x')")
 
 
+def test_paths_between_labels(g):
+    paths = lambda text: sorted(g.traverse(text).rows())
+    assert paths("g.V(1).out().as('a').out().path().from('a').by('name')") == [["josh", "lop"], ["josh", "ripple"]]
+    assert paths("g.V(1).as('s').out().as('a').out().path().to('a').by('name')") == [["marko", "josh"], ["marko", "josh"]]
+    whole = g.traverse("g.V().as('a').out().in().simplePath().count()").rows()
+    part = g.traverse("g.V().out().as('a').in().simplePath().from('a').count()").rows()
+    every = g.traverse("g.V().out().in().count()").rows()
+    assert part == every and whole < every
+    with pytest.raises(UnsupportedTraversal):
+        g.traverse("g.V().out().as('a').out().path().from('a').by('name').by('age')")
+
+
+def test_properties_keep_their_type(g):
+    assert g.traverse("g.V().properties('age').value().sum()").rows() == [123]
+    assert sorted(map(str, g.traverse("g.V(1).properties().value()").rows())) == ["29", "marko"]
+    (row,) = g.traverse("g.V(1).propertyMap('age')").rows()
+    assert [(x["key"], x["value"]) for x in row["age"]] == [("age", 29)]
+
+
+def test_what_has_no_meaning_here_is_refused(g):
+    for text in ("g.V(1).as('a').out('knows').as('a').select(Pop.all, 'a')", "g.V().hasKey('name')", "g.V().hasValue(29)", "g.V().properties().properties()", "g.withSideEffect('x', 0, Operator.sum).V().count()"):
+        with pytest.raises(UnsupportedTraversal):
+            g.traverse(text)
+    assert g.traverse("g.V(1).as('a').out('knows').select(Pop.first, 'a').values('name')").rows() == ["marko", "marko"]
+
+
 def test_strategies(g):
     assert g.traverse("g.withStrategies(new SubgraphStrategy(vertices: hasLabel('person'), edges: has('weight', 1.0))).V().out().values('name')").rows() == ["josh"]
     assert g.traverse("g.withStrategies(new PartitionStrategy(partitionKey: 'lang', readPartitions: ['java'])).V().count()").rows() == [2]
