@@ -3,12 +3,17 @@
 A page is read as blocks of text, each under a chain of elements.  The generalised path of an element is its ancestors' tags and
 classes, digits written as #.  Menus, headers, footers, sidebars, notices, adverts, forms, comments and what is hidden
 never count.  Containers are scored by their share of the page's text (less that of links): from the body, the search
-goes down while one child holds most of it, and ends at an article.  Each page votes for the path of its container with
-its characters; Spark adds the votes by host, and pages are read again with the winning path of their host.  A
-page without such an element keeps its own container.
+goes down while one child holds all of it, so that no heading or lead beside a body is left out, or while the child is an article or
+main element with most of it, and ends at an article.  Each page votes for the path of its container with its characters; Spark adds
+the votes by host, and pages are read again with the winning path of their host: what a page alone can't tell from its article,
+as an unmarked box, the other pages of the host can.  A page without such an element keeps its own container.
 
-Defined results: null, empty and text-less pages have empty text; a null or odd url belongs to the host ''; repeated rows
-vote and are extracted like others; an empty table gives an empty result; other columns are ignored.
+Pages meet the winners without a shuffle of their html: winners of up to BROADCAST bytes (checked) are broadcast; more are joined, each
+host's pages dealt to SALTS tasks.
+
+Defined results: null, empty and text-less pages have empty text; a null or odd url belongs to the host ''; of paths with equal
+votes the last in order wins; very long pages are read whole; repeated rows vote and are extracted like others; an empty table
+gives an empty result; other columns pass if named in `keep`.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Kept, table, written
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?+")
@@ -39,6 +44,8 @@ NOISE_WORD = frozenset(
 #: An open element that a new one of the kind closes, up to the element that bounds the search.
 CLOSES = {"p": "p", "li": "li", "dt": "dd", "dd": "dt", "tr": "tr", "td": "td", "th": "th", "option": "option"}
 SHARE = 0.6
+#: Bytes of winning paths that are broadcast at most, and tasks that a host's pages are dealt to beyond.
+BROADCAST, SALTS = 16 << 20, 64
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -157,9 +164,9 @@ def best(found: list[tuple[str, Element]]) -> tuple[str, int]:
     one = root
     while one.tag != "article":
         child = max(below.get(id(one), ()), key=lambda c: c.mass, default=None)
-        if child is None or child.mass < SHARE * one.mass or child.mass == 0:
+        if child is None or child.mass == 0 or child.tag in ("ul", "ol", "dl", "tbody"):
             break
-        if child.tag in ("ul", "ol", "dl", "tbody"):
+        if child.mass < one.mass and not (child.tag in ("article", "main") and child.mass >= SHARE * one.mass):
             break
         one = child
     return one.path, one.mass
@@ -195,14 +202,17 @@ def consensus(pages: DataFrame) -> DataFrame:
     return votes.groupBy("host", "path").agg(F.sum("votes").alias("votes")).groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path"))
 
 
-def extracted(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def extracted(pages: DataFrame, keep: list[str] | None = None, broadcast: int = BROADCAST) -> DataFrame:
     """pages' columns `keep` with text."""
-    keep = keep or ["page_id", "url"]
-    kinds = ", ".join(f"__{i} {k}" for i, (_, k) in enumerate(pages.select(*keep).dtypes))
-    rows = pages.select(F.col("html").alias("__html"), host_of(F.col("url")).alias("__host"), *(F.col(c).alias(f"__{i}") for i, c in enumerate(keep)))
-    won = consensus(pages).select(F.col("host").alias("__host"), F.col("path").alias("__path"))
-    met = rows.join(won, "__host", "left").select("__html", "__path", *(f"__{i}" for i in range(len(keep))))
-    return met.mapInArrow(_extracted, f"{kinds}, text string").withColumnsRenamed({f"__{i}": c for i, c in enumerate(keep)})
+    kept = Kept(pages, keep or ["page_id", "url"], ("text",))
+    rows = pages.select(F.col("html").alias("__html"), host_of(F.col("url")).alias("__host"), F.pmod(F.xxhash64("url", "html"), F.lit(SALTS)).alias("__salt"), *kept.columns)
+    won = written(consensus(pages), "paths").select(F.col("host").alias("__host"), F.col("path").alias("__path"))
+    size = won.agg(F.sum(F.octet_length("__host") + F.octet_length("__path") + 64)).first()[0] or 0
+    if size <= broadcast:
+        met = rows.join(F.broadcast(won), "__host", "left")
+    else:
+        met = rows.join(won.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["__host", "__salt"], "left")
+    return met.select("__html", "__path", *kept.hidden).mapInArrow(_extracted, f"{kept.kinds}text string").select(*kept.back, "text")
 
 
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
