@@ -16,9 +16,11 @@ def at(key: str) -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a local one where it is unset (tests, one machine)."""
+    """The folder all machines share: spark.checkpoint.dir, or a local one where it is unset and there is one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         found = "/tmp/checkpoints/tessera"
         spark.sparkContext.setCheckpointDir(found)
     return found
