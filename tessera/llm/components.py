@@ -16,14 +16,22 @@ from .common import written
 HELD = 100_000
 
 
-def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
-    if held:
-        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
-        node, at = np.unique(np.r_[a, b], return_inverse=True)
-        classes = Classes(len(node))
-        classes.join(at[: len(a)], at[len(a) :])
-        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[classes.of])], ["node", "up"])
+def _solved(witnessed: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
+        if held:
+            a, b, *pair = (np.concatenate(x) for x in zip(*held, strict=True))
+            node, at = np.unique(np.r_[a, b], return_inverse=True)
+            classes = Classes(len(node))
+            taken = classes.span(at[: len(a)], at[len(a) :])
+            found = [pa.array(node), pa.array(node[classes.of])]
+            if witnessed:  # the classes first, then the links taken
+                none = pa.nulls(len(node), pa.int64()), pa.nulls(len(taken), pa.int64())
+                yield pa.RecordBatch.from_arrays([*found, none[0], none[0]], ["node", "up", "p", "q"])
+                found = [none[1], none[1], *(pa.array(x[taken]) for x in pair)]
+            yield pa.RecordBatch.from_arrays(found, ["node", "up", "p", "q"][: len(found)])
+
+    return run
 
 
 def components(links: DataFrame, jumps: int = 3, held: int = HELD) -> DataFrame:
@@ -34,30 +42,57 @@ def components(links: DataFrame, jumps: int = 3, held: int = HELD) -> DataFrame:
     ends with one root for each component, after a logarithmic number of rounds.  Each round's tables are written, so
     that a lost executor costs no earlier round.
     """
-    live = written(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    parents = None
+    return _contracted(links, jumps, held, False)[0]
+
+
+def spanned(links: DataFrame, jumps: int = 3, held: int = HELD) -> tuple[DataFrame, DataFrame]:
+    """components() of links of longs, and links (a, b) among them that join the same nodes.
+
+    A link is taken where a node hooks onto another by it, so of a node at most one a round: however many links join a class,
+    those taken are in proportion to its nodes.
+    """
+    return _contracted(links, jumps, held, True)
+
+
+def _contracted(links: DataFrame, jumps: int, held: int, witnessed: bool) -> tuple[DataFrame, DataFrame | None]:
+    """The roots, and the links taken if witnessed; a renamed link then carries one that it comes from as (p, q)."""
+    pair = ["p", "q"] if witnessed else []
+    live = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    live = written(live.select("a", "b", *(F.col(x).alias(y) for x, y in zip("ab", pair, strict=False))), "links")
+    parents = tree = None
     while left := live.count():
         if left <= held:
-            hook = written(live.coalesce(1).mapInArrow(_solved, "node long, up long"), "hooks")
+            schema = "node long, up long, p long, q long" if witnessed else "node long, up long"
+            hook = written(live.coalesce(1).mapInArrow(_solved(witnessed), schema), "hooks")
+            new, hook = hook.where("p is not null") if witnessed else None, hook.where("node is not null").select("node", "up")
         else:
-            both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            hook = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
-            hook = written(hook, "hooks")
+            both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b"), *pair))
+            hook = both.groupBy(F.col("a").alias("node")).agg(F.min(F.struct("b", *pair)).alias("low"))
+            hook = written(hook.select("node", F.least("node", "low.b").alias("up"), *(f"low.{x}" for x in pair)), "hooks")
+            new, hook = hook.where("up < node"), hook.select("node", "up")
             for _ in range(jumps):
                 over = hook.select(F.col("node").alias("up"), F.col("up").alias("further"))
                 hook = hook.join(over, "up").select("node", F.col("further").alias("up"))
             hook = written(hook, "hooks")
+        if witnessed:
+            new = new.select(F.col("p").alias("a"), F.col("q").alias("b"))
+            tree = new if tree is None else tree.unionByName(new)
         if parents is None:
             parents = hook.select("node", F.col("up").alias("root"))
         else:
             step = hook.select(F.col("node").alias("root"), "up")
             parents = written(parents.join(step, "root", "left").select("node", F.coalesce("up", "root").alias("root")), "parents")
         if left <= held:
-            return parents
+            break
         a, b = hook.select(F.col("node").alias("a"), F.col("up").alias("x")), hook.select(F.col("node").alias("b"), F.col("up").alias("y"))
-        moved = live.join(a, "a").join(b, "b").where("x <> y")
-        live = written(moved.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "links")
-    return live.select(F.col("a").alias("node"), F.col("b").alias("root")) if parents is None else parents
+        moved = live.join(a, "a").join(b, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), *pair)
+        if witnessed:
+            moved = moved.groupBy("a", "b").agg(F.min(F.struct("p", "q")).alias("first")).select("a", "b", "first.p", "first.q")
+        live = written(moved if witnessed else moved.distinct(), "links")
+    if parents is None:
+        parents = live.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        tree = live.select("a", "b")
+    return parents, written(tree.distinct(), "tree") if witnessed else None
 
 
 class Classes:

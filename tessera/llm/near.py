@@ -7,8 +7,8 @@ bits, each bit the majority of the set's hashes.  At a similarity of 0.8 a bit d
 node stay few, and the number of masks with it, so that a pair at the threshold misses all of them with a probability of MISS
 at most (`plan`).  So the search is by chance in this alone; recall against comparing all pairs is measured in the tests.
 
-Equal sets are one member, named by a hash of the set.  Each task sends a spanning set of its candidate links, which
-are confirmed on the whole sets.  If all are, the confirmed classes are those of all candidates.  Else, among members that a failed link
+Equal sets are one member, named by a hash of the set.  Each task sends a spanning set of its candidate links; of all of these
+as many as the members need to hang together (`spanned`) are confirmed on the whole sets, however many tasks have seen a group.  If all are, the confirmed classes are those of all candidates.  Else, among members that a failed link
 touches through candidates, the index is asked again across the confirmed classes: for other spanning links, and at last for
 all pairs, so that no candidate that could join two classes is left out.  In these searches members also carry the parities
 of their shingles by hash in PARITY bits.  As many bits as differ, so many shingles at least are in one set only, and more are likely by
@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, WORD_BYTE, chunks, mix, owner, per_text, prefix_hash, row_mark, runs, span_hash, written
-from .components import Classes, components
+from .components import Classes, components, spanned
 from .simhash import GrayIndex, by_node, majority, one_of_each
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -165,9 +165,11 @@ def _candidates(whole: bool):
 
 
 def candidates(members: DataFrame, top: list[tuple[int, int]], whole: bool) -> DataFrame:
-    """Candidate pairs (a, b) of members (sig, f0, f1, and size, bits and root where some are one class), written."""
+    """Candidate pairs (a, b) of members (sig, f0, f1, and size, bits and root where some are one class), written: those that span them, or all."""
     under = members.mapInArrow(_under(top), "node long, " + ", ".join(f"{c} {kind}" for c, kind in members.dtypes))
     found = under.repartition("node").sortWithinPartitions("node").mapInArrow(_candidates(whole), "a long, b long")
+    if not whole:
+        return spanned(found)[1]
     return written(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
 

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from tessera.llm import simhash
-from tessera.llm.components import Classes, components
+from tessera.llm.components import Classes, components, spanned
 
 from .data import SCHEMA, documents, frame
 
@@ -134,6 +134,28 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_spanning_links_join_the_same_nodes_and_are_few(spark):
+    rng = random.Random(4)
+    dense = [(rng.randrange(a, a + 40), rng.randrange(a, a + 40)) for a in (0, 100, 200) for _ in range(600)] + [(300 + i, 301 + i) for i in range(30)]
+    given = {frozenset(x) for x in dense}
+
+    def groups(rows):
+        out = {}
+        for r in rows:
+            out.setdefault(r.root, set()).add(r.node)
+        return {frozenset(x) for x in out.values()}
+
+    links = spark.createDataFrame(dense, "a long, b long")
+    for held in (0, 50, 10000):
+        roots, tree = spanned(links, held=held)
+        taken = [(r.a, r.b) for r in tree.collect()]
+        assert {frozenset(x) for x in taken} <= given
+        assert groups(roots.collect()) == groups(components(links).collect()) == groups(components(tree).collect())
+        assert len(taken) <= 2 * 151
+    roots, tree = spanned(spark.createDataFrame([], "a long, b long"))
+    assert roots.count() == tree.count() == 0
+
+
 def test_dedup_keeps_one_row_of_each_group(spark):
     docs = frame(spark, clash=True)
     out = simhash.dedup(docs)
