@@ -143,3 +143,14 @@ def test_reject_keeps_columns_and_an_empty_table_stays_empty(spark):
     assert sorted(r.doc_id for r in out.collect()) == kept
     assert quality.reject(frame(spark, [])).count() == 0
     assert quality.judged(docs.where(F.lit(False))).count() == 0
+
+
+def test_reject_neither_shuffles_nor_sorts_texts(spark):
+    docs = frame(spark, clash=True)
+    out = quality.reject(docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Sort" not in plan
+    kept = {r.doc_id for r in quality.judged(docs).where("kept").collect()}
+    want = sorted((tuple(r) for r in docs.collect() if r.doc_id in kept), key=repr)
+    assert want and sorted(map(tuple, out.collect()), key=repr) == want
+    assert sorted(map(tuple, quality.reject(docs, model_rows=0).collect()), key=repr) == want
