@@ -355,7 +355,7 @@ def bands(scored: DataFrame, low: float = BAND_LOW, high: float = BAND_HIGH) ->
 
 def judged(docs: DataFrame, order: int = ORDER, model_rows: int = MODEL_ROWS, low: float = BAND_LOW, high: float = BAND_HIGH, kept: Kept | None = None) -> DataFrame:
     """The scores with base_failed and kept."""
-    scored = written(scores(docs, order, model_rows, kept), "scores")
+    scored = written(scores(docs, order, model_rows, kept), "scores", "zstd" if kept else "snappy")
     # of known size, a row for each language, so that the scored rows (and their texts) needn't be dealt out by language
     band = written(bands(scored, low, high).withColumnRenamed("lang", "band_lang"), "bands")
     x = scored.join(band, F.col("lang").eqNullSafe(F.col("band_lang")), "left").drop("band_lang")
