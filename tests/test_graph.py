@@ -212,3 +212,17 @@ def test_graphql(g):
     assert got == {"marko": ["lop"], "josh": ["lop", "ripple"], "peter": ["lop"]}
     with pytest.raises(UnsupportedTraversal):
         query(g, "{ nobody { name } }")
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_nodes_are_counted_where_lists_arrive(spark):
+    p = Plain(3, 30, 120)
+    df = A.node_similarity(shape(spark, p.pairs, p.nodes))
+    plan = planned(df)
+    assert "hashpartitioning(a#" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and x.split("hashpartitioning(")[1].count("#") > 1]
+    hub = A.node_similarity(shape(spark, [(i, 99) for i in range(20)] + [(0, 98), (1, 98)]))
+    got = {(r.node1, r.node2): r.similarity for r in hub.collect()}
+    assert len(got) == 380 and got[0, 1] == 1 and got[2, 0] == got[0, 2] == pytest.approx(1 / 2) and got[5, 6] == 1
