@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions import math, scalars
 from ..functions.predicates import comparable, literal, no, test
-from ..graph import Graph, at, settled, united
+from ..graph import Graph, at, buckets, settled, united
 from ..plans.steps import P, Step, Token, Traversal, UnsupportedTraversal
 from .stream import Stream, merged, scalar
 
@@ -52,6 +52,7 @@ class Lowering:
         self.ring = next((s.bys for s in whole.walk() if s.name in ("path", "tree")), [])
         self.side: dict[str, Stream] = {}
         self.depth = 0
+        self.rest: list[Step] = []
         self.rebound: set[str] = set()
         self.sack: Any = None
         self.seeds: dict[str, Any] = {}
@@ -59,6 +60,8 @@ class Lowering:
     # -- chains ---------------------------------------------------------------------------------------------------------
 
     def chain(self, steps: list[Step], s: Stream | None) -> Stream:
+        if s is None and (counted := self._counted_pairs(steps)) is not None:
+            return counted
         for i, step in enumerate(steps):
             f: Callable | None = getattr(self, f"step_{step.name}", None)
             if f is None:
@@ -553,21 +556,7 @@ class Lowering:
             s2 = self.by(s, step.bys[0] if step.bys else [], "_l")
             return s2.to(self._within(s2, "_l", p).df.drop("_l"))
         bys = step.bys or [[]]
-
-        def side(s: Stream, name: str | None, by: list[Any], to: str) -> Stream:
-            if name is None:
-                return self.by(s, by, to)
-            kind, tables = s.aliases[name]
-            if not by or kind == "value":
-                c = F.col(f"`a${name}`")
-                return s.to(s.df.withColumn(to, c["id"] if kind == "edge" else c))
-            v = self.g.v(tables) if kind == "vertex" else self.g.e(tables)
-            one = Stream(v, kind, attached=True, tables=tables)
-            one = self.by(one, by, to).df.select(F.col("id").alias("_i"), to)
-            c = F.col(f"`a${name}`") if kind == "vertex" else F.col(f"`a${name}`.id")
-            return s.to(s.df.join(one, c == F.col("_i"), "left").drop("_i"))
-
-        out = side(s, left, bys[0], "_l")
+        out = self._side_value(s, left, bys[0], "_l")
         names: list[str] = []
 
         def bound(p: P) -> P:
@@ -587,11 +576,71 @@ class Lowering:
 
         p = bound(p)
         for i, n in enumerate(names):
-            out = side(out, n, bys[(i + 1) % len(bys)], f"_r{i}")
+            out = self._side_value(out, n, bys[(i + 1) % len(bys)], f"_r{i}")
         kind = dict(out.df.dtypes)["_l"]
         out = out.where(F.col("_l").isNotNull() & test(F.col("_l"), p, kind)) if any(bys) else out.where(test(F.col("_l"), p, kind))
         return out.to(out.df.drop("_l", *(f"_r{i}" for i in range(len(names)))))
 
+    def _side_value(self, s: Stream, name: str | None, by: list[Any], to: str) -> Stream:
+        """What a label, or else the payload, has under by()."""
+        if name is None:
+            return self.by(s, by, to)
+        kind, tables = s.aliases[name]
+        if not by or kind == "value":
+            c = F.col(f"`a${name}`")
+            return s.to(s.df.withColumn(to, c["id"] if kind == "edge" else c))
+        v = self.g.v(tables) if kind == "vertex" else self.g.e(tables)
+        one = Stream(v, kind, attached=True, tables=tables)
+        one = self.by(one, by, to).df.select(F.col("id").alias("_i"), to)
+        c = F.col(f"`a${name}`") if kind == "vertex" else F.col(f"`a${name}`.id")
+        return s.to(s.df.join(one, c == F.col("_i"), "left").drop("_i"))
+
+    def _counted_pairs(self, steps: list[Step]) -> Stream | None:
+        """... as(a) ... as(b).where(a, gt(b)).by(x).by(y).count(), without the pairs: walks to the vertex before the last movement, and from it on, meet
+        there, and their values are counted against each other in order.  None where the traversal isn't of that form."""
+        if len(steps) < 6 or self.paths or self.entered or self.sack is not None:
+            return None
+        *walk, b, where, count = steps
+        if (b.name, where.name, count.name) != ("as", "where", "count") or count.args or len(where.args) != 2 or len(b.args) != 1:
+            return None
+        name, p = where.args
+        if not isinstance(p, P) or p.op not in ("lt", "lte", "gt", "gte") or p.args != (b.args[0],) or len(where.bys) != 2 or any(len(x) != 1 or not isinstance(x[0], str) for x in where.bys):
+            return None
+        named = [i for i, x in enumerate(walk) if x.name == "as"]
+        if not named or walk[named[-1]].args != [name] or name == b.args[0]:
+            return None
+        between, simple = walk[named[-1] + 1 :], {"out", "in", "both", "has", "hasLabel", "hasId", "hasNot"}
+        moves = [i for i, x in enumerate(between) if x.name in ("out", "in", "both")]
+        if not moves or any(x.name not in simple or any(True for _ in x.traversals()) for x in between):
+            return None
+        cut = named[-1] + 1 + moves[-1]
+        left = self.chain_of(walk[:cut])
+        if left.kind != "vertex" or left.scope or left.order:
+            return None
+        met = left.df.select("id").distinct().withColumn("k$met", F.col("id"))
+        right = self.chain_of([*walk[cut:], b], Stream(met, "vertex", tables=left.tables))
+        x = self._side_value(left, name, where.bys[0], "_v").df.select(F.col("id").alias("_k"), "_v", left.size().alias("_x"), F.lit(0).cast("bigint").alias("_y"))
+        y = self._side_value(right, b.args[0], where.bys[1], "_v").df.select(F.col("k$met").alias("_k"), "_v", F.lit(0).cast("bigint").alias("_x"), F.lit(1).alias("_y"))
+        kinds = {dict(df.dtypes)["_v"] for df in (x, y)}
+        if not (kinds <= {"tinyint", "smallint", "int", "bigint"} or kinds <= {"tinyint", "smallint", "int", "float", "double"} or len(kinds) == 1 and kinds <= {"string", "timestamp", "timestamp_ntz", "date"}):
+            return None
+        # the numbers of both sides by value, dealt out in order: a vertex where many walks meet takes many tasks
+        rows = x.unionAll(y).where("_v is not null").groupBy("_k", "_v").agg(F.sum("_x").alias("_x"), F.sum("_y").alias("_y"))
+        rows = settled(rows.repartitionByRange(buckets(self.g.spark), "_k", "_v").withColumn("_p", F.spark_partition_id()))
+        low, high = ("_y", "_x") if p.op in ("gt", "gte") else ("_x", "_y")
+        earlier = Window.partitionBy("_k").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        before = rows.groupBy("_k", "_p").agg(F.sum(low).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(earlier), F.lit(0))).drop("_s")
+        within = Window.partitionBy("_k", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0 if p.op in ("gte", "lte") else -1)
+        own = rows.withColumn("_own", F.coalesce(F.sum(low).over(within), F.lit(0))).where(f"{high} > 0")
+        n = own.join(before, ["_k", "_p"]).agg(F.coalesce(F.sum(F.col(high) * (F.col("_own") + F.col("_before"))), F.lit(0)).cast("bigint").alias("v"))
+        return Stream(n, "value")
+
+    def chain_of(self, steps: list[Step], s: Stream | None = None) -> Stream:
+        """A part of a chain by itself."""
+        rest, out = self.rest, self.chain(steps, s)
+        self.rest = rest
+        return out
+
     def _where_traversal(self, s: Stream, t: Traversal) -> Stream:
         """where(as('a') ... as('b')): from one bound label, to another if it ends so."""
         steps = t.steps

@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from tessera.graph import Graph
 from tessera.operators import algorithms as A
 from tessera.operators.services import service
 from tessera.operators.run import run
@@ -226,3 +227,21 @@ def test_similar_nodes_are_counted_where_lists_arrive(spark):
     hub = A.node_similarity(shape(spark, [(i, 99) for i in range(20)] + [(0, 98), (1, 98)]))
     got = {(r.node1, r.node2): r.similarity for r in hub.collect()}
     assert len(got) == 380 and got[0, 1] == 1 and got[2, 0] == got[0, 2] == pytest.approx(1 / 2) and got[5, 6] == 1
+
+
+@pytest.mark.parametrize("op", ["gt", "gte", "lt", "lte"])
+def test_pairs_of_labels_are_counted_without_making_them(spark, op):
+    rng = random.Random(op)
+    n = 60
+    person = spark.createDataFrame([(i, rng.choice([None, 1.0, 2.5, -0.0, 0.0, float("nan")] + [rng.random()] * 5)) for i in range(n)], "id long, `@x` double")
+    firm = spark.createDataFrame([(100 + i, rng.choice([None, *range(4)])) for i in range(n)], "id long, `@y` int")
+    place = spark.createDataFrame([(200 + i,) for i in range(3)], "id long")
+    at = lambda first: spark.createDataFrame([(first * 10 + i, first + i, 200 + rng.choice([0, 0, 0, 1, 2])) for i in range(n)] + [(first * 10 + n, first, 200)], "id long, src long, dst long")
+    ends = {"lives": ({"person"}, {"place"}), "stands": ({"firm"}, {"place"})}
+    g = Graph(spark, {"person": person, "firm": firm, "place": place}, {"lives": at(0), "stands": at(100)}, ends)
+    text = f"g.V().hasLabel('person').as('a').out('lives').in('stands').has('y').as('b').where('a', {op}('b')).by('x').by('y')"
+    plain = g.traverse(f"{text}.select('a', 'b').by('x').by('y')").df.count()
+    counted = g.traverse(f"{text}.count()")
+    assert counted.rows() == [plain] and plain > 0
+    assert "_l#" not in planned(counted.df) and "_own#" in planned(counted.df)
+    assert g.traverse(f"g.V().hasLabel('place').as('a').in('lives').in('stands').as('b').where('a', {op}('b')).by('x').by('y').count()").rows() == [0]
