@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from tessera.graph import Graph
+from tessera.graph import Graph, dropped, looked_up, parted
 from tessera.operators import algorithms as A
 from tessera.operators.services import service
 from tessera.operators.run import run
@@ -245,3 +245,25 @@ def test_pairs_of_labels_are_counted_without_making_them(spark, op):
     assert counted.rows() == [plain] and plain > 0
     assert "_l#" not in planned(counted.df) and "_own#" in planned(counted.df)
     assert g.traverse(f"g.V().hasLabel('place').as('a').in('lives').in('stands').as('b').where('a', {op}('b')).by('x').by('y').count()").rows() == [0]
+
+
+def test_kept_tables_meet_without_a_shuffle_and_can_go(spark):
+    import os
+
+    e = parted(spark.range(300).selectExpr("id % 70 as src", "id as dst"), "src")
+    v = parted(spark.range(70), "id")
+    df = looked_up(e, v, e["src"] == v["id"]).groupBy("src").count()
+    assert "Exchange" not in planned(df) and df.count() == 70 and df.agg({"count": "sum"}).first()[0] == 300
+    where = e._kept_at.removeprefix("file:")
+    assert os.listdir(where) and not [t for t in spark.catalog.listTables() if t.name.startswith("parted_")]
+    dropped(e)
+    assert not os.path.exists(where)
+
+
+def test_algorithms_broadcast_nothing_and_leave_the_session_as_it_was(spark):
+    p = Plain(4, 20, 50)
+    g = shape(spark, p.pairs, p.nodes)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for df in (A.strong_components(g), A.components(g), A.page_rank(g, rounds=2), A.clustering(g)):
+        assert "Broadcast" not in planned(df)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
