@@ -289,21 +289,37 @@ def clustering(g: Graph, labels: list[str] | None = None) -> DataFrame:
     return triangles(g, labels).join(size, "id", "left").select("id", F.when(d < 2, 0.0).otherwise(2 * F.col("value") / (d * (d - 1))).alias("value"))
 
 
+@dealt
 def k_core(g: Graph, labels: list[str] | None = None) -> DataFrame:
-    """Core numbers as the fix-point of the H-index of the neighbours' values, from the degrees on."""
-    e = simple(g, labels)
-    e = settled(e.select(F.col("a").alias("x"), F.col("b").alias("y")).unionAll(e.select(F.col("b").alias("x"), F.col("a").alias("y"))))
-    state = settled(ids(g).join(e.groupBy(F.col("x").alias("id")).agg(F.count(F.lit(1)).alias("c")), "id", "left").select("id", F.coalesce("c", F.lit(0).cast("bigint")).alias("c")))
+    """Core numbers as the fix-point of the H-index of the neighbours' values, from the degrees on.
+
+    Only a vertex that a neighbour no longer holds up is looked at again: its value was at most the neighbour's, and is above it now.
+    A vertex that falls tells those neighbours whose degree is above what it falls to, as no other can be above it.
+    """
+    n = buckets(g.spark)
+    pairs = edges(g, "outE", labels).where("src <> dst").select("src", "dst")
+    both = pairs.unionAll(pairs.select("dst", "src")).toDF("x", "y")
+    e = parted(both.repartition(n, "x").distinct(), "x")
+    degree = e.groupBy("x").agg(F.count(F.lit(1)).cast("int").alias("d"))
+    known = parted(met(ids(g), degree, F.col("id") == F.col("x"), "left").select("id", F.coalesce("d", F.lit(0)).alias("c")), "id")
+    # every edge has its opposite, so that each vertex can tell its degree to its neighbours
+    told = parted(looked_up(e, known, F.col("x") == F.col("id")).select(F.col("y").alias("x"), F.col("x").alias("y"), F.col("c").alias("d")), "x")
+    dropped(e)
+    state, seen = known, told.select(F.col("x").alias("to"), F.col("d").alias("c"))
     while True:
-        # neighbours by value: a hub has few distinct values, not a row for each neighbour, in its window
-        near = e.join(state, F.col("y") == F.col("id")).groupBy("x", "c").agg(F.count(F.lit(1)).alias("n"))
-        above = F.sum("n").over(Window.partitionBy("x").orderBy(F.col("c").desc()))
-        h = near.withColumn("above", above).groupBy("x").agg(F.max(F.least("c", "above")).alias("h"))
-        new = settled(state.join(h, F.col("id") == F.col("x"), "left").select("id", F.least("c", F.coalesce("h", F.lit(0).cast("bigint"))).alias("new"), "c"))
-        changed = not new.where("new <> c").isEmpty()
-        state = new.select("id", F.col("new").alias("c"))
-        if not changed:
-            return state.select("id", F.col("c").alias("value"))
+        # values are counted where they are told: a hub has few distinct ones, not a row for each neighbour, in its window
+        near = seen.groupBy("to", "c").agg(F.count(F.lit(1)).alias("n"))
+        above = F.sum("n").over(Window.partitionBy("to").orderBy(F.col("c").desc()))
+        h = near.withColumn("above", above).groupBy("to").agg(F.max(F.least("c", F.col("above").cast("int"))).alias("h"))
+        new = parted(met(state, h, F.col("id") == F.col("to"), "left").select("id", F.least("c", F.coalesce("h", "c")).alias("c"), F.col("c").alias("old")), "id")
+        fell = looked_up(told, new.where("c < old"), F.col("x") == F.col("id")).where("d > c").groupBy(F.col("y").alias("to")).agg(F.min("c").alias("low"), F.max("old").alias("high"))
+        look = parted(met(new.select("id", "c"), fell, F.col("id") == F.col("to")).where("low < c and c <= high").select("id"), "id")
+        dropped(state)
+        state = new
+        if look.isEmpty():
+            return state.select("id", F.col("c").cast("bigint").alias("value"))
+        asked = looked_up(told, look, F.col("x") == F.col("id"), "left_semi").select(F.col("x").alias("to"), "y").repartition(n, "y")
+        seen = looked_up(asked, state.select("id", "c"), F.col("y") == F.col("id")).select("to", "c").repartition(n, "to")
 
 
 #: Pairs that one task counts.
