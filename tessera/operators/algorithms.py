@@ -270,23 +270,43 @@ def simple(g: Graph, labels: list[str] | None = None) -> DataFrame:
     return e.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
+def _closed(g: Graph, labels: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Triangles (id, n) and degrees (x, d), of vertices that have some.
+
+    Edges run from the vertex of fewer to that of more neighbours, so no hub makes all pairs of its own.  A vertex sends what follows
+    a neighbour in its list, as an array, to that neighbour if it has a list too, and the two lists are intersected there.
+    """
+    n = buckets(g.spark)
+    pairs = edges(g, "outE", labels).where("src <> dst")
+    e = parted(pairs.select(F.explode(F.array(F.struct(F.col("src").alias("x"), F.col("dst").alias("y")), F.struct(F.col("dst").alias("x"), F.col("src").alias("y")))).alias("p")).select("p.x", "p.y").repartition(n, "x").distinct(), "x")
+    degree = parted(e.groupBy("x").agg(F.count(F.lit(1)).cast("int").alias("d")), "x")
+    told = looked_up(e, degree, "x").select(F.col("y").alias("v"), F.struct("d", F.col("x").alias("u")).alias("z"))
+    later = met(told, degree, F.col("v") == F.col("x")).where(F.struct("d", "x") < F.col("z"))
+    lists = parted(later.groupBy("v").agg(F.transform(F.sort_array(F.collect_list("z")), lambda z: z["u"]).alias("l")), "v")
+    dropped(e)
+    heads = lists.select(F.col("v").alias("y"))
+    asks = lists.where("size(l) > 1").select(F.col("v").alias("x"), F.posexplode("l").alias("k", "y"))
+    asked = met(asks, heads, "y", "left_semi").select(F.col("x").alias("v"), "y", "k")
+    sent = met(lists, asked, "v").where("k + 1 < size(l)").select("y", F.col("v").alias("x"), F.slice("l", F.col("k") + 2, F.size("l")).alias("rest"))
+    common = met(sent, lists.select(F.col("v").alias("y"), "l"), "y").select("x", "y", F.array_intersect("rest", "l").alias("z")).where("size(z) > 0")
+    one = F.lit(1).cast("bigint").alias("n")
+    every = F.concat(F.array(*(F.struct(F.col(c).alias("id"), F.size("z").cast("bigint").alias("n")) for c in ("x", "y"))), F.transform("z", lambda z: F.struct(z.alias("id"), one)))
+    return common.select(F.explode(every).alias("t")).groupBy("t.id").agg(F.sum("t.n").alias("n")), degree
+
+
+@dealt
 def triangles(g: Graph, labels: list[str] | None = None) -> DataFrame:
-    """Triangles of each vertex.  Edges run from the vertex of fewer to that of more neighbours, so no hub makes all pairs of its own."""
-    e = settled(simple(g, labels))
-    size = e.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").count()
-    big = e.join(size.select(F.col("id").alias("a"), F.col("count").alias("ca")), "a").join(size.select(F.col("id").alias("b"), F.col("count").alias("cb")), "b")
-    first = F.struct("ca", "a") < F.struct("cb", "b")
-    d = settled(big.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("y")))
-    wedge = d.join(d.select("x", F.col("y").alias("z")), "x").where("y < z")
-    closed = wedge.join(e, (F.col("y") == F.col("a")) & (F.col("z") == F.col("b")))
-    got = closed.select(F.explode(F.array("x", "y", "z")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("value"))
-    return ids(g).join(got, "id", "left").select("id", F.coalesce("value", F.lit(0).cast("bigint")).alias("value"))
+    """Triangles of each vertex."""
+    got = _closed(g, labels)[0].withColumnRenamed("id", "x")
+    return met(ids(g), got, F.col("id") == F.col("x"), "left").select("id", F.coalesce("n", F.lit(0).cast("bigint")).alias("value"))
 
 
+@dealt
 def clustering(g: Graph, labels: list[str] | None = None) -> DataFrame:
-    size = simple(g, labels).select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("d"))
-    d = F.coalesce("d", F.lit(0))
-    return triangles(g, labels).join(size, "id", "left").select("id", F.when(d < 2, 0.0).otherwise(2 * F.col("value") / (d * (d - 1))).alias("value"))
+    got, degree = _closed(g, labels)
+    n, d = F.coalesce("n", F.lit(0)), F.coalesce("d", F.lit(0)).cast("bigint")
+    known = met(met(ids(g), degree, F.col("id") == F.col("x"), "left").drop("x"), got.withColumnRenamed("id", "x"), F.col("id") == F.col("x"), "left")
+    return known.select("id", F.when(d < 2, 0.0).otherwise(2 * n / (d * (d - 1))).alias("value"))
 
 
 @dealt
