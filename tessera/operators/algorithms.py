@@ -247,21 +247,25 @@ def degree(g: Graph, direction: str = "IN", labels: list[str] | None = None, wei
     return ids(g).join(got, "id", "left").select("id", F.coalesce("value", zero).alias("value"))
 
 
+@dealt
 def hits(g: Graph, rounds: int = 20, **which) -> DataFrame:
     """(id, hub, authority), each of length 1."""
-    e = settled(edges(g, **which))
-    state = settled(ids(g).select("id", F.lit(1.0).alias("hub"), F.lit(1.0).alias("authority")))
-
-    def scaled(df: DataFrame, c: str) -> DataFrame:
-        size = (df.agg(F.sqrt(F.sum(F.col(c) ** 2))).first()[0] or 0.0) or 1.0
-        return df.withColumn(c, F.col(c) / size)
+    e = summed(g, **which)
+    turned = parted(e, "dst")
+    hub = authority = parted(ids(g).select("id", F.lit(1.0).alias("x")), "id")
+    h = a = 1.0  # what the kept scores are to be divided by
+
+    def passed(e: DataFrame, start: str, end: str, kept: DataFrame, size: float, old: DataFrame) -> tuple[DataFrame, float]:
+        got = looked_up(e, kept.where("x <> 0"), F.col("id") == F.col(start)).groupBy(end).agg(F.sum(F.col("x") / size * F.col("w")).alias("m"))
+        new = parted(met(kept.select("id"), got, F.col("id") == F.col(end), "left").select("id", F.coalesce("m", F.lit(0.0)).alias("x")), "id")
+        if old is not kept:
+            dropped(old)
+        return new, (new.agg(F.sqrt(F.sum(F.col("x") ** 2))).first()[0] or 0.0) or 1.0
 
     for _ in range(rounds):
-        a = state.join(e, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("hub") * F.col("w")).alias("m"))
-        state = scaled(settled(state.join(a, F.col("id") == F.col("dst"), "left").select("id", "hub", F.coalesce("m", F.lit(0.0)).alias("authority"))), "authority")
-        h = state.join(e, F.col("id") == F.col("dst")).groupBy("src").agg(F.sum(F.col("authority") * F.col("w")).alias("m"))
-        state = scaled(settled(state.join(h, F.col("id") == F.col("src"), "left").select("id", F.coalesce("m", F.lit(0.0)).alias("hub"), "authority")), "hub")
-    return state
+        authority, a = passed(e, "src", "dst", hub, h, authority)
+        hub, h = passed(turned, "dst", "src", authority, a, hub)
+    return met(hub.select("id", (F.col("x") / h).alias("hub")), authority.select("id", (F.col("x") / a).alias("authority")), "id")
 
 
 def simple(g: Graph, labels: list[str] | None = None) -> DataFrame:
