@@ -158,19 +158,27 @@ def strong_components(g: Graph, **which) -> DataFrame:
     return met(named, named.groupBy("c").agg(F.min("name").alias("value")), "c").select("id", "value")
 
 
+@dealt
 def peer_pressure(g: Graph, rounds: int = 30, **which) -> DataFrame:
-    """The cluster that most of a vertex and its neighbours in vote for; ties go to the smallest."""
-    e = settled(edges(g, **which).select("src", "dst", "w"))
-    state = settled(name(g).withColumnRenamed("name", "c"))
+    """The cluster that most of a vertex and its neighbours in vote for; ties go to the smallest.
+
+    Votes are dealt out once, by the vertex that counts them.  Where names are only ids, clusters travel as ids and are compared as text.
+    """
+    e = summed(g, **which)
+    n = buckets(g.spark)
+    text = "uid" in g.v().columns
+    state = parted(name(g).withColumnRenamed("name", "c") if text else ids(g).select("id", F.col("id").alias("c")), "id")
     for _ in range(rounds):
-        votes = state.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "c", "w").unionAll(state.select("id", "c", F.lit(1.0).alias("w")))
-        counted = votes.groupBy("id", "c").agg(F.sum("w").alias("n"))
-        new = settled(counted.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "c"))["c"].alias("c")))
-        same = new.join(state.withColumnRenamed("c", "old"), "id").where("c <> old").isEmpty()
+        votes = looked_up(e, state, F.col("id") == F.col("src")).select(F.col("dst").alias("to"), "c", "w")
+        counted = votes.repartition(n, "to").unionAll(state.select(F.col("id").alias("to"), "c", F.lit(1.0).alias("w")).repartition(n, "to")).groupBy("to", "c").agg(F.sum("w").alias("n"))
+        best = counted.groupBy("to").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("c").cast("string").alias("t"), "c"))["c"].alias("best"))
+        new = parted(best.select(F.col("to").alias("id"), F.col("best").alias("c")), "id")
+        same = met(new, state.select("id", F.col("c").alias("old")), "id").where("c <> old").isEmpty()
+        dropped(state)
         state = new
         if same:
             break
-    return state.select("id", F.col("c").alias("value"))
+    return state.select("id", F.col("c").cast("string").alias("value"))
 
 
 def distances(g: Graph, sources: DataFrame | None = None, limit: float | None = None, **which) -> DataFrame:
