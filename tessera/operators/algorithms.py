@@ -60,22 +60,23 @@ def name(g: Graph) -> DataFrame:
     return v.select("id", (F.coalesce(F.col("uid"), F.col("id").cast("string")) if "uid" in v.columns else F.col("id").cast("string")).alias("name"))
 
 
+@dealt
 def page_rank(g: Graph, alpha: float = 0.85, rounds: int = 20, epsilon: float = 1e-5, **which) -> DataFrame:
     """Ranks that sum to 1; a vertex without edges out hands its rank to all."""
-    e = edges(g, **which)
-    out = e.groupBy("src").agg(F.sum("w").alias("out")).where("out > 0")
-    e = settled(e.groupBy("src", "dst").agg(F.sum("w").alias("w")).join(out, "src").select("src", "dst", (F.col("w") / F.col("out")).alias("share")))
+    e = summed(g, **which)
     v = ids(g)
     n = v.count()
-    sends = e.select(F.col("src").alias("id")).distinct().withColumn("sends", F.lit(True))
-    rank = settled(v.join(sends, "id", "left").select("id", F.coalesce("sends", F.lit(False)).alias("sends"), F.lit(1.0 / max(n, 1)).alias("r")))
+    # what a vertex sends in all; nothing if that is not positive
+    out = e.groupBy("src").agg(F.sum("w").alias("out")).where("out > 0")
+    rank = parted(met(v, out, F.col("id") == F.col("src"), "left").select("id", "out", F.lit(1.0 / max(n, 1)).alias("r")), "id")
     for _ in range(rounds):
-        lost = rank.agg(F.sum((1 - alpha) * F.col("r")).alias("t"), F.sum(F.when(~F.col("sends"), alpha * F.col("r"))).alias("s")).first()
+        lost = rank.agg(F.sum((1 - alpha) * F.col("r")).alias("t"), F.sum(F.when(F.col("out").isNull(), alpha * F.col("r"))).alias("s")).first()
         base = ((lost["t"] or 0.0) + (lost["s"] or 0.0)) / max(n, 1)
-        got = rank.join(e, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(alpha * F.col("r") * F.col("share")).alias("m"))
-        new = settled(rank.join(got, F.col("id") == F.col("dst"), "left").select("id", "sends", F.col("r").alias("old"), (F.lit(base) + F.coalesce("m", F.lit(0.0))).alias("r")))
-        moved = new.agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0
-        rank = new.select("id", "sends", "r")
+        got = looked_up(e, rank.where("out is not null"), F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(alpha * F.col("r") * (F.col("w") / F.col("out"))).alias("m"))
+        new = parted(met(rank, got, F.col("id") == F.col("dst"), "left").select("id", "out", (F.lit(base) + F.coalesce("m", F.lit(0.0))).alias("r")), "id")
+        moved = 0.0 if epsilon <= 0 else met(new, rank.select("id", F.col("r").alias("old")), "id").agg(F.sum(F.abs(F.col("r") - F.col("old")))).first()[0] or 0.0
+        dropped(rank)
+        rank = new
         if moved < epsilon:
             break
     return rank.select("id", F.col("r").alias("value"))
