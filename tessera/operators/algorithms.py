@@ -99,24 +99,31 @@ def article_rank(g: Graph, alpha: float = 0.85, rounds: int = 20, tolerance: flo
     return state.select("id", F.col("score").alias("value"))
 
 
+@dealt
 def components(g: Graph, threshold: float | None = None, direction: str = "bothE", **which) -> DataFrame:
-    """The smallest external id, as a string, of each weakly connected component: contraction, a logarithmic number of rounds."""
+    """The smallest external id, as a string, of each weakly connected component: contraction, a logarithmic number of rounds.
+
+    Roots stay dealt out by vertex, so that a component of most vertices is never one task's.
+    """
     e = edges(g, "outE", **which)
     e = e if threshold is None else e.where(F.col("w") > threshold)
-    links = settled(e.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    n = buckets(g.spark)
+    links = parted(e.where("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).repartition(n, "a").distinct(), "a")
     root = ids(g).select("id", F.col("id").alias("root"))
     while not links.isEmpty():
         both = links.unionAll(links.select("b", "a"))
-        up = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("up"))
-        up = settled(up)
+        up = parted(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("up")), "a")
         for _ in range(3):
-            up = up.join(up.select(F.col("a").alias("up"), F.col("up").alias("further")), "up").select("a", F.col("further").alias("up"))
-        up = settled(up)
-        root = settled(root.join(up, F.col("root") == F.col("a"), "left").select("id", F.coalesce("up", "root").alias("root")))
+            further = parted(met(up, up.select(F.col("a").alias("up"), F.col("up").alias("further")), "up").select("a", F.col("further").alias("up")), "a")
+            dropped(up)
+            up = further
+        new = parted(met(root, up, F.col("root") == F.col("a"), "left").select("id", F.coalesce("up", "root").alias("root")), "id")
         x, y = up.select("a", F.col("up").alias("x")), up.select(F.col("a").alias("b"), F.col("up").alias("y"))
-        links = settled(links.join(x, "a").join(y, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
-    named = root.join(name(g), "id")
-    return named.join(named.groupBy("root").agg(F.min("name").alias("value")), "root").select("id", "value")
+        left = parted(met(met(links, x, "a"), y, "b").where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).repartition(n, "a").distinct(), "a")
+        dropped(links, up, *([root] if hasattr(root, "_kept_at") else []))
+        root, links = new, left
+    named = met(name(g), root, "id")
+    return met(named, named.groupBy("root").agg(F.min("name").alias("value")), "root").select("id", "value")
 
 
 def strong_components(g: Graph, **which) -> DataFrame:
