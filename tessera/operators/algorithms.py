@@ -82,18 +82,22 @@ def page_rank(g: Graph, alpha: float = 0.85, rounds: int = 20, epsilon: float =
     return rank.select("id", F.col("r").alias("value"))
 
 
+@dealt
 def article_rank(g: Graph, alpha: float = 0.85, rounds: int = 20, tolerance: float = 1e-7, **which) -> DataFrame:
     """Each vertex passes on what it gained, by its degree and the mean degree together."""
-    e = settled(edges(g, **which))
-    out = e.groupBy("src").agg(F.sum("w").alias("out"))
+    e = summed(g, **which)
     v = ids(g)
     n = max(v.count(), 1)
     mean = (e.agg(F.sum("w")).first()[0] or 0.0) / n
-    share = settled(e.join(out, "src").select("src", "dst", (F.col("w") / (F.col("out") + mean)).alias("share")))
-    state = settled(v.select("id", F.lit(1 - alpha).alias("score"), F.lit(1 - alpha).alias("delta")))
+    out = e.groupBy("src").agg(F.sum("w").alias("out"))
+    state = parted(met(v, out, F.col("id") == F.col("src"), "left").select("id", "out", F.lit(1 - alpha).alias("score"), F.lit(1 - alpha).alias("delta")), "id")
     for _ in range(rounds):
-        got = state.where(F.col("delta") > tolerance).join(share, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(alpha * F.col("delta") * F.col("share")).alias("m"))
-        state = settled(state.join(got, F.col("id") == F.col("dst"), "left").select("id", (F.col("score") + F.coalesce("m", F.lit(0.0))).alias("score"), F.coalesce("m", F.lit(0.0)).alias("delta")))
+        sends = state.where(F.col("delta") > tolerance).where("out is not null").select("id", "out", "delta")
+        got = looked_up(e, sends, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(alpha * F.col("delta") * (F.col("w") / (F.col("out") + mean))).alias("m"))
+        gain = F.coalesce("m", F.lit(0.0))
+        new = parted(met(state, got, F.col("id") == F.col("dst"), "left").select("id", "out", (F.col("score") + gain).alias("score"), gain.alias("delta")), "id")
+        dropped(state)
+        state = new
         if state.where(F.col("delta") > tolerance).isEmpty():
             break
     return state.select("id", F.col("score").alias("value"))
