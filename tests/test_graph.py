@@ -267,3 +267,24 @@ def test_algorithms_broadcast_nothing_and_leave_the_session_as_it_was(spark):
     for df in (A.strong_components(g), A.components(g), A.page_rank(g, rounds=2), A.clustering(g)):
         assert "Broadcast" not in planned(df)
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
+
+
+@pytest.mark.parametrize("form,suffix", [(graphson, ".json"), (csv, ".csv")])
+def test_what_a_file_is_read_into_is_smaller_than_the_file(spark, tmp_path, form, suffix):
+    from pathlib import Path
+
+    from tessera.graph import shared_dir
+
+    n = 20_000
+    v = spark.range(n).selectExpr("id", "concat('name of ', id) as `@name`", "id % 7 as `@age`")
+    e = spark.range(n).selectExpr("id", "id as src", "(id * 7) % 20000 as dst", "'a rather long and common note' as `@note`")
+    g = Graph(spark, {"person": v}, {"knows": e}, {"knows": ({"person"}, {"person"})})
+    (kept := Path(shared_dir(spark).removeprefix("file:"))).mkdir(parents=True, exist_ok=True)
+    size = lambda p: sum(f.stat().st_size for f in p.rglob("*") if f.is_file())
+    form.write(g, f"{tmp_path}/g{suffix}")
+    text = sum(len(r.value) for r in spark.read.text([str(p) for p in tmp_path.iterdir()]).collect())
+    before = size(kept)
+    back = form.read(spark, f"{tmp_path}/g{suffix}")
+    assert 0 < size(kept) - before < 0.5 * text
+    assert back.traverse("g.V(3).out('knows').values('name')").rows() == ["name of 21"]
+    assert suffix == ".csv" or size(tmp_path) < 0.2 * text
